@@ -24,12 +24,18 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, files: str
     return reader.parquet(folder)
 
 
+def _timed(rows: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a time with a zone; zone-free times are read in the session's."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def bucket_counts(
     events: DataFrame, ts: str, keys: Sequence[str | Column], width: str = "1 minute", late: str = "10 minutes"
 ) -> DataFrame:
     """Counts per tumbling window and key; rows later than ``late`` are not counted."""
     return (
-        events.withWatermark(ts, late)
+        _timed(events, ts)
+        .withWatermark(ts, late)
         .groupBy(F.window(ts, width).alias("_w"), *keys)
         .agg(F.count(F.lit(1)).alias("metric_value"))
         .withColumn("window_start", F.col("_w.start"))
@@ -48,7 +54,8 @@ def rolling_alerts(
 ) -> DataFrame:
     """Sliding windows in which a key occurs more than ``min_count`` times."""
     return (
-        events.withWatermark(ts, late)
+        _timed(events, ts)
+        .withWatermark(ts, late)
         .groupBy(F.window(ts, width, slide).alias("_w"), *keys)
         .agg(F.count(F.lit(1)).alias("metric_value"))
         .filter(F.col("metric_value") > min_count)
@@ -61,7 +68,8 @@ def first_seen_messages(
 ) -> DataFrame:
     """The first row of each message beginning; repeats inside ``memory`` are dropped."""
     return (
-        log.withWatermark(ts, memory)
+        _timed(log, ts)
+        .withWatermark(ts, memory)
         .withColumn("message_start", slice_text(F.col(message), *prefix))
         .dropDuplicatesWithinWatermark(["message_start"])
     )
