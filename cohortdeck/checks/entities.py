@@ -6,6 +6,8 @@ billing chain, events are the site's logs.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,21 @@ from cohortdeck.functions.numbers import money
 from cohortdeck.functions.times import shift, us_week
 from cohortdeck.sources.tables import parquet_table
 
+# Declared, so that no job is spent on looking schemas up.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 AS_OF = "2024-01-31 00:00:00"
 SEGMENT_CODES = {"BUILDING": 1, "AUTOMOBILE": 2, "MACHINERY": 3, "HOUSEHOLD": 4}
 
@@ -37,7 +54,7 @@ LOG = """log AS (
     SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id, event_type, CAST(value AS DECIMAL(18,2)) AS amount,
       CAST(round(CAST(value AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS ms,
       CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
-      CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) < 50 THEN 'DA' ELSE 'EC' END AS site_code
+      CASE WHEN value < 35 THEN 'DA' ELSE 'EC' END AS site_code
     FROM events))"""
 
 TRX = """trx AS (
@@ -68,11 +85,13 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
+        if name not in TABLE_SCHEMAS:
             raise AttributeError(name)
-        return parquet_table(self.spark, f"{self.sf_dir}/{name}.parquet")
+        table = parquet_table(self.spark, f"{self.sf_dir}/{name}.parquet", schema=TABLE_SCHEMAS[name])
+        setattr(self, name, table)
+        return table
 
-    @property
+    @cached_property
     def users(self) -> DataFrame:
         balance = F.col("c_acctbal")
         return self.customer.select(
@@ -87,7 +106,7 @@ class Tables:
             code_label(F.col("c_mktsegment"), SEGMENT_CODES).alias("seeking"),
         )
 
-    @property
+    @cached_property
     def log(self) -> DataFrame:
         k = json_value(F.col("props"), "$.k", "int")
         amount = money(F.col("value"))
@@ -100,7 +119,7 @@ class Tables:
             amount.alias("amount"),
             F.round(amount * 100, 0).cast("bigint").alias("ms"),
             k.alias("k"),
-            F.when(k < 50, "DA").otherwise("EC").alias("site_code"),
+            F.when(F.col("value") < 35, "DA").otherwise("EC").alias("site_code"),
         )
         return raw.select(
             "*",

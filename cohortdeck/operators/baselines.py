@@ -109,7 +109,10 @@ def tiered_alert(
 
 
 def group_spread(df: DataFrame, keys: Sequence[str], value: str, cells: int = 32) -> DataFrame:
-    """Per group: ``deviation`` (sample, null for one row), ``average``, ``median``."""
+    """Per group: ``deviation`` (sample, null for one row), ``average``, ``median``.
+
+    Pass ``cells=1`` when the values are counts (see ``value_ranks``).
+    """
     whole = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
     average = int_div(F.sum(value), F.count(value)) if whole else F.avg(value)
     basic = df.groupBy(*keys).agg(
@@ -118,12 +121,14 @@ def group_spread(df: DataFrame, keys: Sequence[str], value: str, cells: int = 32
     return null_safe_join(basic, exact_median(df, keys, value, "median", cells), keys, "left")
 
 
-def low_outliers(df: DataFrame, keys: Sequence[str], value: str, deviations: int = 2, miss: float = 0.25) -> DataFrame:
+def low_outliers(
+    df: DataFrame, keys: Sequence[str], value: str, deviations: int = 2, miss: float = 0.25, cells: int = 32
+) -> DataFrame:
     """Rows below their group's median by over ``deviations`` deviations and ``miss`` more.
 
     The allowed distance is rounded to a whole number for the miss ratio only.
     """
-    spread = null_safe_join(df, group_spread(df, keys, value), keys)
+    spread = null_safe_join(df, group_spread(df, keys, value, cells), keys)
     below = F.col("median") - F.col(value)
     allowed = F.col("deviation") * deviations
     missed = F.try_divide(below.cast("decimal(20,0)"), allowed.cast("decimal(10,0)")) - 1
@@ -136,13 +141,19 @@ def low_outliers(df: DataFrame, keys: Sequence[str], value: str, deviations: int
 
 
 def high_outliers(
-    df: DataFrame, keys: Sequence[str], value: str, floor: int, deviations: int = 2, over_average: float = 1.5
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    floor: int,
+    deviations: int = 2,
+    over_average: float = 1.5,
+    cells: int = 32,
 ) -> DataFrame:
     """Rows above median by over ``deviations``, above the average and above ``floor``.
 
     Groups with one row, or with a deviation below 1, flag nothing.
     """
-    spread = null_safe_join(df, group_spread(df, keys, value), keys)
+    spread = null_safe_join(df, group_spread(df, keys, value, cells), keys)
     count = F.col(value)
     return spread.filter(
         ((count - F.col("median")) > F.col("deviation") * deviations)
@@ -152,9 +163,11 @@ def high_outliers(
     )
 
 
-def trim_high(df: DataFrame, keys: Sequence[str], value: str, deviations: float = 1.5) -> DataFrame:
+def trim_high(
+    df: DataFrame, keys: Sequence[str], value: str, deviations: float = 1.5, cells: int = 32
+) -> DataFrame:
     """Rows under median plus ``deviations`` deviations; one-row groups are dropped."""
-    spread = null_safe_join(df, group_spread(df, keys, value), keys)
+    spread = null_safe_join(df, group_spread(df, keys, value, cells), keys)
     return spread.filter(F.col(value) < F.col("median") + F.col("deviation") * deviations).select(*df.columns)
 
 

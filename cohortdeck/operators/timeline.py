@@ -9,6 +9,7 @@ totals, so a key holding a third of the data is worked on by many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,28 +155,82 @@ def covering_count(
     return ran.filter(F.col("_row").isNotNull()).select("_row.*", name)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, cells: int = 32) -> DataFrame:
-    """Distinct values per key with ``_n`` (rows), ``_upto`` (rows up to it), ``_size``.
+def _search_sql(low: int, high: int) -> str:
+    """SQL for the number of ascending cuts below the value, found by halving."""
+    if low == high:
+        return str(low)
+    middle = (low + high) // 2
+    lower, upper = _search_sql(low, middle), _search_sql(middle + 1, high)
+    return f"CASE WHEN _number <= _grid.cuts[{middle}] THEN {lower} ELSE {upper} END"
 
-    Equal values are counted before anything moves.  Cut points only balance the
-    cells; the ranks are exact whatever they are.
+
+def value_cells(df: DataFrame, value: str, coarse: int = 32) -> DataFrame:
+    """Add ``_cell``, an ordered range of values holding few rows of the whole table.
+
+    Coarse ranges come from approximate quantiles of all rows (a one-row subquery);
+    each is cut evenly so that there are about as many cells as rows in a cell.  A
+    group with much of the data also owns most of the cells.  Nothing depends on the
+    cuts being exact, only on their order.
+    """
+    number = F.col(value).cast("double")
+    steps = [i / coarse for i in range(coarse + 1)]
+    grid = df.agg(
+        F.struct(
+            F.percentile_approx(number, steps, 1000).alias("cuts"),
+            F.ceil(F.sqrt(F.count(F.lit(1))) / coarse).alias("parts"),
+        )
+    ).scalar()
+    placed = df.withColumns({"_grid": grid, "_number": number}).withColumn("_range", F.expr(_search_sql(1, coarse)))
+    inner = F.expr("width_bucket(_number, _grid.cuts[_range - 1], _grid.cuts[_range], _grid.parts)")
+    cell = F.col("_range") * (F.col("_grid.parts") + 2) + F.coalesce(inner, F.lit(0))
+    return placed.withColumn("_cell", cell).drop("_grid", "_number", "_range")
+
+
+def value_ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    ranks: Sequence[Column],
+    cells: int = 32,
+    needs: DataFrame | None = None,
+) -> DataFrame:
+    """Distinct values around given ranks: ``_n`` (rows), ``_upto`` (rows up to it), ``_size``.
+
+    ``ranks`` are 1-based and may use ``_size`` and the columns of ``needs`` (one row
+    per key).  Only the cells a rank falls into are sorted.  ``cells=1`` ranks a key's
+    distinct values in one task and is for values that are counts: D different counts
+    add up to at least D * D / 2 rows, so 10**12 rows give under 1.5 million of them.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    steps = [i / cells for i in range(1, cells)]
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, steps, 1000).alias("_cuts"), F.sum("_n").alias("_size")
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    group = Window.partitionBy(*keys)
+    if cells == 1:
+        upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.select("*", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(group).alias("_size"))
+    celled = value_cells(known, value, cells)
+    totals = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_held"))
+    earlier = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.select(
+        "*",
+        F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_held").over(group).alias("_size"),
     )
-    celled = null_safe_join(counts, cuts, keys).withColumn(
-        "_cell", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    extra = []
+    if needs is not None:
+        extra = [c for c in needs.columns if c not in keys]
+        placed = null_safe_join(placed, needs, keys)
+    inside = [(F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_held")) for rank in ranks]
+    wanted = placed.filter(reduce(lambda a, b: a | b, inside)).drop("_held")
+    counts = celled.groupBy(*keys, "_cell", value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = null_safe_join(counts, wanted, [*keys, "_cell"])
+    return near.select(
+        *keys, value, "_n", (F.col("_before") + F.sum("_n").over(upto)).alias("_upto"), "_size", *extra
     )
-    return running_total(celled.drop("_cuts"), keys, "_cell", [value], {"_upto": "_n"})
 
 
-def value_at_rank(ranked: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """The value at given 1-based ranks per key; rank expressions may use ``_size``."""
-    return ranked.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("_upto") >= rank, F.col(value))).alias(name) for name, rank in ranks.items()]
-    )
+def _holds(rank: Column) -> Column:
+    return (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", cells: int = 32) -> DataFrame:
@@ -183,12 +238,10 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
 
     Halves round up.  Whole-number input gives a whole number, truncated.
     """
-    size = F.col("_size")
-    middle = value_at_rank(
-        value_ranks(df, keys, value, cells),
-        keys,
-        value,
-        {"_low": F.floor((size + 1) / 2), "_high": F.floor(size / 2) + 1},
+    ranks = {"_low": F.floor((F.col("_size") + 1) / 2), "_high": F.floor(F.col("_size") / 2) + 1}
+    ranked = value_ranks(df, keys, value, list(ranks.values()), cells)
+    middle = ranked.groupBy(*keys).agg(
+        *[F.min(F.when(_holds(rank), F.col(value))).alias(n) for n, rank in ranks.items()]
     )
     total = F.col("_low") + F.col("_high")
     whole = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
@@ -201,16 +254,19 @@ def top_half(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, cell
 
     The cut is an exact order statistic; rows tied at it are cut again by tiebreak.
     """
-    ranked = value_ranks(df, keys, value, cells)
     half = F.floor((F.col("_size") + 1) / 2)
-    cut = ranked.filter((F.col("_upto") >= half) & (F.col("_upto") - F.col("_n") < half)).select(
-        *keys, F.col(value).alias("_cut"), (half - (F.col("_upto") - F.col("_n"))).alias("_need")
+    cut = (
+        value_ranks(df, keys, value, [half], cells)
+        .filter(_holds(half))
+        .select(*keys, F.col(value).alias("_cut"), (half - (F.col("_upto") - F.col("_n"))).alias("_need"))
     )
     marked = null_safe_join(df, cut, keys)
     ties = marked.filter(F.col(value) == F.col("_cut"))
-    tie_ranks = null_safe_join(value_ranks(ties, keys, tiebreak, cells), cut.select(*keys, "_need"), keys)
-    last = tie_ranks.groupBy(*keys).agg(
-        F.max(F.when(F.col("_upto") <= F.col("_need"), F.col(tiebreak))).alias("_last")
+    need = F.col("_need")
+    last = (
+        value_ranks(ties, keys, tiebreak, [need], cells, cut.select(*keys, "_need"))
+        .filter(_holds(need))
+        .select(*keys, F.col(tiebreak).alias("_last"))
     )
     inside = null_safe_join(marked, last, keys)
     keep = (F.col(value) < F.col("_cut")) | (

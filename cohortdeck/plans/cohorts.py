@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cohortdeck import fixed_values as fixed
 from cohortdeck.functions.labels import cohort_digit, dated_cohort, digit_cohort, first_match
 from cohortdeck.functions.times import Moment, seconds_between
-from cohortdeck.operators.joins import without_keys
 
 
 def with_cohort(
@@ -41,7 +40,7 @@ def cohort_counts(users: DataFrame, user: str, guid: str, position: int, cohorts
     )
 
 
-def fraud_users(
+def _judged(
     users: DataFrame,
     resignations: DataFrame,
     user: str = "user_id",
@@ -50,12 +49,7 @@ def fraud_users(
     resign_type: str = fixed.FRAUD_RESIGN_TYPE,
     excluded_codes: Sequence[int] = fixed.FRAUD_EXCLUDED_CODES,
 ) -> DataFrame:
-    """Users resigned for fraud soon after signing up.
-
-    ``resignations`` has the user, ``resign_type``, ``resign_code`` and ``resign_ts``.
-    A resignation before the signup counts too.  Rows with a null code never do.
-    Only the earliest resignation of a user can matter, so one row per user is joined.
-    """
+    """``users`` with ``_fraud``.  Only a user's earliest resignation can decide."""
     earliest = (
         resignations.filter(
             (F.col("resign_type") == resign_type) & ~F.col("resign_code").isin(*excluded_codes)
@@ -63,14 +57,23 @@ def fraud_users(
         .groupBy(user)
         .agg(F.min("resign_ts").alias("_resigned"))
     )
-    signups = users.groupBy(user).agg(F.max(signup_ts).alias("_signup"))
-    gone = signups.join(earliest, [user])
-    return gone.filter(seconds_between(F.col("_signup"), F.col("_resigned")) < within_seconds).select(user)
+    soon = seconds_between(F.col(signup_ts), F.col("_resigned")) < within_seconds
+    return users.join(earliest, [user], "left").withColumn("_fraud", F.coalesce(soon, F.lit(False))).drop("_resigned")
+
+
+def fraud_users(users: DataFrame, resignations: DataFrame, user: str = "user_id", **rule) -> DataFrame:
+    """Users resigned for fraud soon after signing up.
+
+    ``resignations`` has the user, ``resign_type``, ``resign_code`` and ``resign_ts``;
+    the signup time belongs to the user.  A resignation before the signup counts too,
+    one with a null code never does.
+    """
+    return _judged(users, resignations, user, **rule).filter("_fraud").select(user).distinct()
 
 
 def remove_fraud(users: DataFrame, resignations: DataFrame, user: str = "user_id", **rule) -> DataFrame:
-    """``users`` without those the fraud rule catches."""
-    return without_keys(users, fraud_users(users, resignations, user, **rule), [user])
+    """``users`` without those the fraud rule catches, in one pass over both inputs."""
+    return _judged(users, resignations, user, **rule).filter("NOT _fraud").drop("_fraud")
 
 
 def dated_cohort_counts(

@@ -4,80 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortdeck.functions.labels import code_label
 from cohortdeck.functions.numbers import lift_percent, money, percent
-from cohortdeck.operators.joins import null_safe_join
 from cohortdeck.operators.sets import append
 from cohortdeck.operators.timeline import interval_sums
 
 
 def price_test_buyers(sales: DataFrame, dims: Sequence[str], split: Sequence[str] = ()) -> DataFrame:
-    """First transaction per buyer and cohort.
+    """First transaction per buyer and cohort: its time and its amount.
 
-    ``sales``: user_id, trx_id, ts and the cohort columns ``dims``.  ``split`` columns
-    are grouped by too, giving a user one row per value of them.
+    ``sales``: user_id, trx_id, ts, amount and the cohort columns ``dims``.  ``split``
+    columns are grouped by too, giving a user one row per value of them.  The first
+    time and the lowest transaction id may be of different rows.
     """
-    return sales.dropna(subset=list(dims)[:1]).groupBy("user_id", *dims, *split).agg(
-        F.min("ts").alias("first_ts"), F.min("trx_id").alias("first_trx")
+    return sales.groupBy("user_id", *dims, *split).agg(
+        F.min("ts").alias("first_ts"), F.min_by(money(F.col("amount")), F.col("trx_id")).alias("first_amount")
     )
 
 
-def price_test_summary(
-    buyers: DataFrame, trx: DataFrame, resigned: DataFrame, dims: Sequence[str]
-) -> DataFrame:
+def price_test_summary(buyers: DataFrame, trx: DataFrame, resigned: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Buyers, total, initial and renewal cash and resignations per cohort.
 
     ``buyers`` as made by ``price_test_buyers``; ``trx`` holds successful payments
-    (user_id, trx_id, ts, amount, is_renewal, and is_cash for those that count as
-    cash).  Cash counts from the buyer row's first time on; a user with several
-    buyer rows counts once per row.  Only cohorts with all four measures appear.
+    (user_id, ts, amount, is_renewal, and is_cash for those that count as cash).  Cash
+    counts from the buyer row's first time on; a user with several buyer rows counts
+    once per row.  Only cohorts with all four measures appear.
     """
-    rows = buyers.select("user_id", "first_trx", "first_ts", *dims)
-    counted = rows.groupBy("user_id", "first_ts", *dims).agg(F.count(F.lit(1)).alias("_rows"))
-    cash = F.when(F.col("is_cash"), money(F.col("amount")))
+    gone = resigned.select("user_id").distinct().withColumn("_gone", F.lit(1))
+    counted = (
+        buyers.groupBy("user_id", "first_ts", *dims)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.sum("first_amount").alias("_first"))
+        .join(gone, ["user_id"], "left")
+    )
     renewal = F.col("is_cash") & F.col("is_renewal")
     later = interval_sums(
         counted,
-        ["user_id", "first_ts", "_rows", *dims],
+        ["user_id", "first_ts", "_rows", "_first", "_gone", *dims],
         F.col("first_ts"),
         None,
         trx,
         "ts",
         ["user_id"],
         {
-            "_cash": F.coalesce(cash, F.lit(0)),
+            "_cash": F.when(F.col("is_cash"), money(F.col("amount"))).otherwise(0),
             "_paid": F.when(F.col("is_cash"), 1).otherwise(0),
             "_renewal": F.when(renewal, money(F.col("amount"))).otherwise(0),
             "_renewed": F.when(renewal, 1).otherwise(0),
         },
+        grain="month",
     )
+    user, rows = F.col("user_id"), F.col("_rows")
     totals = later.groupBy(*dims).agg(
-        F.count_distinct(F.when(F.col("_paid") > 0, F.col("user_id"))).alias("users"),
-        F.sum(F.when(F.col("_paid") > 0, F.col("_cash") * F.col("_rows"))).cast("decimal(28,2)").alias("total_cash"),
-        F.sum(F.when(F.col("_renewed") > 0, F.col("_renewal") * F.col("_rows")))
-        .cast("decimal(28,2)")
-        .alias("renewal_cash"),
-    )
-    first = (
-        rows.join(
-            trx.select("user_id", F.col("trx_id").alias("first_trx"), money(F.col("amount")).alias("_first")),
-            ["user_id", "first_trx"],
-        )
-        .groupBy(*dims)
-        .agg(F.sum("_first").alias("initial_cash"))
+        F.count_distinct(F.when(F.col("_paid") > 0, user)).alias("users"),
+        F.sum(F.when(F.col("_paid") > 0, F.col("_cash") * rows)).cast("decimal(28,2)").alias("total_cash"),
+        F.sum("_first").cast("decimal(28,2)").alias("initial_cash"),
+        F.sum(F.when(F.col("_renewed") > 0, F.col("_renewal") * rows)).cast("decimal(28,2)").alias("renewal_cash"),
+        F.count_distinct(F.when(F.col("_gone") == 1, user)).alias("resignations"),
     )
-    gone = (
-        rows.select("user_id", *dims)
-        .distinct()
-        .join(resigned.select("user_id").distinct(), ["user_id"])
-        .groupBy(*dims)
-        .agg(F.count(F.lit(1)).alias("resignations"))
+    return totals.filter(
+        (F.col("users") > 0)
+        & F.col("initial_cash").isNotNull()
+        & F.col("renewal_cash").isNotNull()
+        & (F.col("resignations") > 0)
     )
-    complete = totals.filter((F.col("users") > 0) & F.col("renewal_cash").isNotNull())
-    return null_safe_join(null_safe_join(complete, first, dims), gone, dims)
 
 
 def index_to_control(
@@ -105,12 +97,10 @@ def index_to_control(
     indexed = summary.select("*", *[scaled(m, p).alias(f"{m}_indexed") for m, p in measures.items()])
     if conversion_of is None:
         return indexed
-    base = F.sum(F.col(conversion_of).cast("decimal(24,4)") * part).cast("decimal(10,2)")
-    if within:
-        controls = summary.filter(is_control).groupBy(*within).agg(base.alias("_control"))
-        indexed = null_safe_join(indexed, controls, within, "left")
-    else:
-        indexed = indexed.withColumn("_control", summary.filter(is_control).agg(base).scalar())
+    # the summary has one row per cohort, so this window holds a handful of rows
+    base = F.sum(F.when(is_control, F.col(conversion_of).cast("decimal(24,4)") * part))
+    control_size = base.over(Window.partitionBy(*within)).cast("decimal(10,2)")
+    indexed = indexed.withColumn("_control", control_size)
     lift = F.when(is_control, F.lit(0).cast("decimal(36,2)")).otherwise(
         lift_percent(F.col(conversion_of), F.col("_control"))
     )
@@ -152,39 +142,39 @@ def message_test(
     is_response.  ``buyers``: user_id.  Cohorts without messages or subscribers are
     left out.
     """
-    cohort_of = users.select(F.col("user_id").alias("sender_id"), "cohort").distinct()
     initial = F.col("is_response") == 0
-    sent = (
-        messages.groupBy("sender_id", "message_id")
-        .agg(F.max(F.when(initial, 1).otherwise(0)).alias("_initial"))
-        .join(cohort_of, ["sender_id"])
-        .groupBy("cohort", "message_id")
-        .agg(F.max("_initial").alias("_initial"))
-        .groupBy("cohort")
-        .agg(F.count("message_id").alias("sent"), F.sum("_initial").alias("initial_contacts"))
+
+    def fact(kind: str, unit: str, first: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.col(unit).cast("string").alias("unit"), F.when(first, 1).otherwise(0).alias("first")
+        )
+
+    sent = messages.select(
+        F.col("sender_id").alias("user_id"),
+        F.explode(F.array(fact("sent", "message_id", initial), fact("met", "recipient_id", initial))).alias("f"),
     )
-    met = (
-        messages.filter(initial)
-        .select("sender_id", "recipient_id")
-        .distinct()
-        .join(cohort_of, ["sender_id"])
-        .groupBy("cohort")
-        .agg(F.count_distinct("recipient_id").alias("conversations"))
+    others = [
+        rows.select("user_id", fact(kind, "user_id", F.lit(True)).alias("f"))
+        for kind, rows in (("member", users), ("bought", buyers))
+    ]
+    # one row per user and unit, then one per cohort and unit, then counts
+    facts = append(sent, *others).groupBy("user_id", "f.kind", "f.unit").agg(F.max("f.first").alias("first"))
+    units = (
+        facts.join(users.select("user_id", "cohort").distinct(), ["user_id"])
+        .groupBy("cohort", "kind", "unit")
+        .agg(F.max("first").alias("first"))
     )
-    members = users.groupBy("cohort").agg(F.count_distinct("user_id").alias("users"))
-    bought = (
-        users.select("user_id", "cohort")
-        .distinct()
-        .join(buyers.select("user_id").distinct(), ["user_id"], "left_semi")
-        .groupBy("cohort")
-        .agg(F.count("user_id").alias("subs"))
+    known, first = F.col("unit").isNotNull(), F.col("first") == 1
+    counts = units.groupBy("cohort").agg(
+        F.count_if((F.col("kind") == "member") & known).alias("users"),
+        F.count_if((F.col("kind") == "sent") & known).alias("sent"),
+        F.count_if((F.col("kind") == "sent") & known & first).alias("initial_contacts"),
+        F.count_if((F.col("kind") == "met") & known & first).alias("conversations"),
+        F.count_if((F.col("kind") == "bought") & known).alias("subs"),
     )
     subs = F.col("subs").cast("decimal(10,2)")
     return (
-        members.join(sent, ["cohort"])
-        .join(met, ["cohort"], "left")
-        .fillna(0, ["conversations"])
-        .join(bought, ["cohort"])
+        counts.filter((F.col("sent") > 0) & (F.col("subs") > 0))
         .select(
             "cohort",
             "users",

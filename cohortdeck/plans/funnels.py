@@ -51,57 +51,57 @@ def without_prior_purchase(viewers: DataFrame, user: str, purchases: DataFrame,
     return without_keys(viewers, between_moments(purchases, ts, None, before), [user])
 
 
-def payment_viewers(viewers: DataFrame, payment_views: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """First payment-page view per user, session and cohort among the viewers.
-
-    Both sides have ``user_id`` and ``session_id``; payment views have ``ts``.
-    """
-    sessions = viewers.select("user_id", "session_id", *dims).distinct()
-    firsts = payment_views.groupBy("user_id", "session_id").agg(F.min("ts").alias("first_payment_view"))
-    return sessions.join(firsts, ["user_id", "session_id"])
-
-
-def trx_summary(
-    trx: DataFrame,
+def funnel_users(
+    viewers: DataFrame,
+    payment_views: DataFrame,
+    transactions: DataFrame,
     cash: DataFrame,
     resigned: DataFrame,
     dims: Sequence[str],
-    packages: Mapping[str, Column] | None = None,
-    fanout: str = "reference",
+    packages: Mapping[str, Column],
 ) -> DataFrame:
-    """Subscribers, cash, sum of squares, package mix and resignations per cohort.
+    """One row per cohort and viewer: payment page seen, transactions, cash, resigned.
 
-    ``trx`` holds the distinct subscription transactions of the test, ``cash`` every
-    successful payment (``user_id``, ``amount``), ``resigned`` the resigned users.
-    ``fanout="reference"`` counts a user's cash and resignation once per pair of
-    transaction and payment, as joining the three sets does; ``"per_user"`` counts
-    them once.  Either way each user is one row before users are joined.
+    Every input is read once and reduced to its key before it is joined, so neither
+    sessions nor payments multiply each other.
     """
-    if fanout not in ("reference", "per_user"):
-        raise ValueError("fanout is 'reference' or 'per_user'")
-    packages = package_flags() if packages is None else dict(packages)
-    buyers = trx.groupBy(*dims, "user_id").agg(
-        F.count(F.lit(1)).alias("_trx"),
-        *[F.max(F.when(test, 1).otherwise(0)).alias(name) for name, test in packages.items()],
+    sessions = viewers.select("user_id", "session_id", *dims).distinct()
+    firsts = payment_views.groupBy("user_id", "session_id").agg(F.min("ts").alias("_first_view"))
+    rows = sessions.join(firsts, ["user_id", "session_id"], "left").join(
+        transactions.distinct(), ["user_id", "session_id"], "left"
+    )
+    counted = F.col("_first_view") < F.col("ts")
+    users = rows.groupBy(*dims, "user_id").agg(
+        F.max(F.when(F.col("_first_view").isNotNull(), 1).otherwise(0)).alias("_paying"),
+        F.count(F.when(counted, 1)).alias("_trx"),
+        *[F.max(F.when(counted & test, 1).otherwise(0)).alias(name) for name, test in packages.items()],
     )
     amount = money(F.coalesce(F.col("amount"), F.lit(0)))
     payments = cash.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_payments"), F.sum(amount).alias("_cash"), F.sum(amount * amount).alias("_squares")
     )
     gone = resigned.select("user_id").distinct().withColumn("_gone", F.lit(1))
-    users = buyers.join(payments, ["user_id"]).join(gone, ["user_id"], "left")
+    return users.join(payments, ["user_id"], "left").join(gone, ["user_id"], "left")
+
+
+def _funnel_counts(users: DataFrame, dims: Sequence[str], packages: Mapping[str, Column], fanout: str) -> DataFrame:
+    if fanout not in ("reference", "per_user"):
+        raise ValueError("fanout is 'reference' or 'per_user'")
+    is_sub = (F.col("_trx") > 0) & (F.col("_payments") > 0)
     times = F.col("_trx") if fanout == "reference" else F.lit(1)
     gone_times = times * F.col("_payments") if fanout == "reference" else F.lit(1)
     return users.groupBy(*dims).agg(
-        F.count(F.lit(1)).alias("subs"),
-        F.sum(F.col("_cash") * times).cast("decimal(28,2)").alias("total_cash"),
-        F.sum(F.col("_squares") * times).cast("decimal(38,4)").alias("sum_square_cash"),
-        *[F.sum(name).alias(name) for name in packages],
-        F.sum(F.when(F.col("_gone") == 1, gone_times).otherwise(0)).alias("resignations"),
+        F.count(F.lit(1)).alias("viewers"),
+        F.sum("_paying").alias("payment_viewers"),
+        F.count_if(is_sub).alias("subs"),
+        F.sum(F.when(is_sub, F.col("_cash") * times)).cast("decimal(28,2)").alias("total_cash"),
+        F.sum(F.when(is_sub, F.col("_squares") * times)).cast("decimal(38,4)").alias("sum_square_cash"),
+        *[F.sum(F.when(is_sub, F.col(name)).otherwise(0)).alias(name) for name in packages],
+        F.sum(F.when(is_sub & (F.col("_gone") == 1), gone_times).otherwise(0)).alias("resignations"),
     )
 
 
-def conversion_funnel(
+def trx_summary(
     viewers: DataFrame,
     payment_views: DataFrame,
     transactions: DataFrame,
@@ -110,29 +110,43 @@ def conversion_funnel(
     dims: Sequence[str] = ("cohort",),
     packages: Mapping[str, Column] | None = None,
     fanout: str = "reference",
+) -> DataFrame:
+    """Subscribers, cash, sum of squares, package mix and resignations per cohort.
+
+    Inputs and ``fanout`` as in ``conversion_funnel``; cohorts without subscribers are
+    left out.
+    """
+    packages = package_flags() if packages is None else packages
+    known = viewers.dropna(subset=list(dims))
+    users = funnel_users(known, payment_views, transactions, cash, resigned, dims, packages)
+    counts = _funnel_counts(users, dims, packages, fanout).filter(F.col("subs") > 0)
+    return counts.drop("viewers", "payment_viewers")
+
+
+def conversion_funnel(
+    viewers: DataFrame,
+    payment_views: DataFrame,
+    transactions: DataFrame,
+    cash: DataFrame,
+    resigned: DataFrame,
+    dims: Sequence[str] = ("cohort",),
+    fanout: str = "reference",
 ) -> DataFrame:
     """Offer viewers, payment-page viewers, subscribers, cash and rates per cohort.
 
     Inputs are already limited to the test's dates and to countable rows:
     ``viewers`` (user_id, session_id, dims), ``payment_views`` (user_id, session_id,
-    ts), ``transactions`` (user_id, session_id, ts, ...), ``cash`` and ``resigned`` as
-    in ``trx_summary``.  A transaction counts when its session saw the payment page
-    earlier.  Cohorts that are null are left out.
+    ts), ``transactions`` (user_id, session_id, ts, ...), ``cash`` with every successful
+    payment (user_id, amount) and ``resigned`` (user_id).  A transaction counts when its
+    session saw the payment page earlier.  Cohorts that are null are left out.
+
+    ``fanout="reference"`` counts a user's cash and resignation once per pair of
+    transaction and payment, as joining the three sets does; ``"per_user"`` counts them
+    once.  The pairs are multiplied out, not formed.
     """
-    cohorts = list(dims)
-    known = viewers.dropna(subset=cohorts)
-    paying = payment_viewers(known, payment_views, cohorts)
-    trx = (
-        transactions.join(paying, ["user_id", "session_id"])
-        .filter(F.col("first_payment_view") < F.col("ts"))
-        .drop("first_payment_view")
-        .distinct()
-    )
-    seen = known.groupBy(*cohorts).agg(F.count_distinct("user_id").alias("viewers"))
-    at_payment = paying.groupBy(*cohorts).agg(F.count_distinct("user_id").alias("payment_viewers"))
-    bought = trx_summary(trx, cash, resigned, cohorts, packages, fanout)
-    merged = seen.join(at_payment, cohorts, "left").join(bought, cohorts, "left")
-    return funnel_rates(merged, cohorts)
+    known = viewers.dropna(subset=list(dims))
+    users = funnel_users(known, payment_views, transactions, cash, resigned, dims, {})
+    return funnel_rates(_funnel_counts(users, dims, {}, fanout), dims)
 
 
 def funnel_rates(counts: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -172,34 +186,32 @@ def onboarding_flags(
     photo_id.  ``photos``: user_id, photo_id, upload_ts.  ``viewers`` and ``buyers``:
     user_id.  A profile counts when made soon after signup; a photo when it is the
     approved profile's and uploaded soon after the submission.  Every step is one
-    row per user before it is joined, so steps do not multiply each other.
+    row per user before it is joined; only a user's pictures may be several.
     """
     submitted = submissions.groupBy("user_id", "session_id").agg(
         F.max("submit_ts").alias("_submit"), F.max("approve_ts").alias("_approve")
     )
-    in_time = profiles.join(users.select("user_id", "signup_ts").distinct(), ["user_id"]).filter(
-        F.col("create_ts") < shift(F.col("signup_ts"), profile_minutes, "MINUTE")
-    )
-    created = in_time.groupBy("user_id").agg(F.lit(1).alias("_created"))
-    uploads = photos.groupBy("user_id", "photo_id").agg(F.min("upload_ts").alias("upload_ts"))
-    pictured = (
-        in_time.filter(F.col("approve_ts").isNotNull() & (F.col("photo_id") > 0))
-        .select("user_id", "photo_id")
-        .distinct()
+    made = profiles.groupBy("user_id").agg(F.min("create_ts").alias("_made"))
+    uploads = photos.groupBy("user_id", "photo_id").agg(F.min("upload_ts").alias("_upload"))
+    pictures = (
+        profiles.filter(F.col("approve_ts").isNotNull() & (F.col("photo_id") > 0))
+        .groupBy("user_id", "photo_id")
+        .agg(F.min("create_ts").alias("_photo_made"))
         .join(uploads, ["user_id", "photo_id"])
-        .groupBy("user_id")
-        .agg(F.min("upload_ts").alias("_upload"))
     )
     flags = (
         users.join(submitted, ["user_id", "session_id"], "left")
-        .join(created, ["user_id"], "left")
-        .join(pictured, ["user_id"], "left")
+        .join(made, ["user_id"], "left")
         .join(viewers.select("user_id").distinct().withColumn("_viewer", F.lit(1)), ["user_id"], "left")
         .join(buyers.select("user_id").distinct().withColumn("_buyer", F.lit(1)), ["user_id"], "left")
+        .join(pictures, ["user_id"], "left")
+    )
+    in_time = shift(F.col("signup_ts"), profile_minutes, "MINUTE")
+    photo_ok = (F.col("_photo_made") < in_time) & (
+        F.col("_upload") <= shift(F.col("_submit"), photo_minutes, "MINUTE")
     )
-    photo_ok = F.col("_upload") <= shift(F.col("_submit"), photo_minutes, "MINUTE")
     steps = {
-        "created": F.col("_created") == 1,
+        "created": F.col("_made") < in_time,
         "submitted": F.col("_submit").isNotNull(),
         "approved": F.col("_approve").isNotNull(),
         "photo_approved": photo_ok,

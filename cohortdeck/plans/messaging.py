@@ -97,7 +97,7 @@ def trimmed_summary(
     the part of ``dims`` whose median and deviation set the limit.
     """
     per_sender = contacts.groupBy(*dims, sender).agg(F.count_distinct(recipient).alias("_met"))
-    kept = trim_high(per_sender, groups, "_met", deviations)
+    kept = trim_high(per_sender, groups, "_met", deviations, cells=1)
     return (
         kept.groupBy(*dims)
         .agg(F.count_distinct(sender).alias("senders"), F.sum("_met").alias("recipients"))

@@ -101,7 +101,8 @@ def top_messages(
         F.count(F.lit(1)).alias("total"),
         *[count_when(site == label).alias(label.lower()) for label in sites],
     )
-    shares = percent_of_total(counts, "total", "percent")
+    everything = log.agg(F.count(F.lit(1))).scalar()
+    shares = percent_of_total(counts, "total", "percent", everything)
     if min_count is not None:
         shares = shares.filter(F.col("total") > min_count)
     if n is not None:
@@ -146,7 +147,7 @@ def low_performing(
     """Hosts with far fewer rows than the median host of their group."""
     keys = list(group)
     counts = log.groupBy(*[c.alias(k) for k, c in group.items()], host).agg(F.count(F.lit(1)).alias("executions"))
-    found = low_outliers(counts, keys, "executions", deviations, miss)
+    found = low_outliers(counts, keys, "executions", deviations, miss, cells=1)
     return found.select(
         *keys,
         host,
@@ -320,7 +321,7 @@ def slow_servers(log: DataFrame, group: Mapping[str, Column], host: str, minutes
     """Hosts with far more slow pages than the median host of their group."""
     keys = list(group)
     counts = log.groupBy(*[c.alias(k) for k, c in group.items()], host).agg(F.count(F.lit(1)).alias("slow_pages"))
-    return high_outliers(counts, keys, "slow_pages", minutes, deviations).select(
+    return high_outliers(counts, keys, "slow_pages", minutes, deviations, cells=1).select(
         *keys,
         host,
         "slow_pages",

@@ -18,13 +18,16 @@ RECOMMENDED = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Only settable while a session is built.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}  # no stack trace per call
+
 
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     """A session with the recommended settings; ``conf`` entries win over them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RECOMMENDED, **conf}.items():
+    for key, value in {**RECOMMENDED, **AT_START, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -16,8 +16,12 @@ def catalog_table(spark: SparkSession, name: str, columns: Sequence[str] = ("*",
     return spark.table(name).select(*columns)
 
 
-def parquet_table(spark: SparkSession, path: str, columns: Sequence[str] = ("*",)) -> DataFrame:
-    return spark.read.parquet(path).select(*columns)
+def parquet_table(
+    spark: SparkSession, path: str, columns: Sequence[str] = ("*",), schema: StructType | str | None = None
+) -> DataFrame:
+    """A parquet table; a declared schema saves the job that looks it up."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path).select(*columns)
 
 
 def jdbc_table(
