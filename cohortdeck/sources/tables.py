@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortdeck.functions.times import us_week
+from cohortdeck.session import scratch_path
 
 
 def catalog_table(spark: SparkSession, name: str, columns: Sequence[str] = ("*",)) -> DataFrame:
@@ -59,7 +60,7 @@ def as_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def query(spark: SparkSession, text: str, **parameters) -> DataFrame:
+def query(spark: SparkSession, text: str, /, **parameters) -> DataFrame:
     """A parameterised SQL dataset: ``:name`` markers are bound, never spliced in."""
     return spark.sql(text, args=parameters)
 
@@ -90,3 +91,14 @@ def write_weekly(df: DataFrame, path: str, ts: str) -> None:
 def read_week(spark: SparkSession, path: str, year: int, week: int) -> DataFrame:
     """One week of such a log; only that week's folder is listed and read."""
     return spark.read.parquet(path).filter((F.col("log_year") == year) & (F.col("log_week") == week))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Store an intermediate result in the shared scratch folder and read it from there.
+
+    For a population several later steps start from: it is computed once, the plan is
+    cut, and losing an executor costs nothing that was stored.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
