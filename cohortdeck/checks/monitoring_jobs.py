@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from cohortdeck.checks.entities import AS_OF, LOG, Tables
 from cohortdeck.checks.registry import check
 from cohortdeck.functions import texts
+from cohortdeck.operators.baselines import hourly_baselines
 from cohortdeck.operators.filters import lagged_window
 from cohortdeck.plans import monitoring
+from cohortdeck.session import scratch_path
+from cohortdeck.sources.summaries import read_summary, write_summary
 
 SITE = "CASE WHEN left(host, 2) = 'DA' THEN 'ClearView' ELSE 'DuPont' END"
 HOSTS_KEPT = " AND ".join(
@@ -222,6 +225,37 @@ def hourly_tiered_alert(t: Tables) -> DataFrame:
     return monitoring.hourly_alerts(t.events, "ts", ["event_type"], new_page=3, catch_all=8, noise=2)
 
 
+@check(
+    "hourly_summary_alerts",
+    """WITH h AS (SELECT date_trunc('hour', ts) AS hr, user_id AS page, count(*) AS n FROM events GROUP BY 1, 2),
+      b AS (SELECT h.hr, h.page, h.n, coalesce(p.n, 0) AS prev, coalesce(y.n, 0) AS yest, coalesce((SELECT sum(w.n)::BIGINT // count(*) FROM h w
+          WHERE w.page = h.page AND w.hr IN (h.hr - INTERVAL 7 DAY, h.hr - INTERVAL 14 DAY, h.hr - INTERVAL 21 DAY, h.hr - INTERVAL 28 DAY)), 0) AS week
+        FROM h LEFT JOIN h p ON p.page = h.page AND p.hr = h.hr - INTERVAL 1 HOUR LEFT JOIN h y ON y.page = h.page AND y.hr = h.hr - INTERVAL 1 DAY)
+    SELECT CAST(CAST(hr AS DATE) AS VARCHAR) AS log_date, hour(hr) AS log_hour, c_name AS page_name, n AS executions, prev AS previous_hour, week AS weekly_average, yest AS yesterday
+    FROM b JOIN customer ON c_custkey = page WHERE hr = TIMESTAMP '2024-01-29 10:00:00' AND n > 0
+      AND ((week = 0 AND yest = 0 AND prev = 0 AND n > 0) OR (week > 0 AND n > 2 * week) OR (week = 0 AND prev > 0 AND n > 2 * prev)
+      OR (week = 0 AND prev = 0 AND yest > 0 AND n > 2 * yest) OR n > 8)""",
+)
+def hourly_summary_alerts(t: Tables) -> DataFrame:
+    log = t.events.select(F.col("user_id").alias("page"), "ts")
+    base = hourly_baselines(log, "ts", ["page"])
+    path = scratch_path(t.spark, "hourly-summary")
+    write_summary(base, path, base.schema)
+    stored = read_summary(t.spark, path, base.schema)
+    pages = t.customer.select(F.col("c_custkey").alias("page"), F.col("c_name").alias("page_name"))
+    return monitoring.summary_alerts(
+        stored, pages, "page", "page_name", "2024-01-29 11:20:00", new_page=0, catch_all=8, noise=0
+    )
+
+
+@check(
+    "message_trend",
+    f"""WITH {LOG} SELECT CAST(day AS VARCHAR) AS metric_date, count(*) AS metric_value FROM log WHERE message LIKE 'Page click%' AND ts >= TIMESTAMP '2024-01-02' GROUP BY 1""",
+)
+def message_trend(t: Tables) -> DataFrame:
+    return monitoring.message_trend(t.log, "ts", "message", "Page click", "2024-01-02")
+
+
 @check(
     "slow_components",
     f"""WITH {LOG}, s AS (SELECT event_type, session_week, ms FROM (SELECT *, split_part(session_id, '-', 2) AS session_week, ms * k AS share, ms * 100 AS total FROM log)

@@ -66,6 +66,20 @@ def summary_sink_roundtrip(t: Tables) -> DataFrame:
     return summaries.read_summary(t.spark, path, schema, names)
 
 
+@check(
+    "staged_result",
+    """WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT 'busy' AS side, count(*) AS users FROM s WHERE n >= 65
+    UNION ALL SELECT 'quiet', count(*) FROM s WHERE n < 65""",
+)
+def staged_result(t: Tables) -> DataFrame:
+    per_user = tables.staged(t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "per-user")
+    parts = [
+        per_user.filter(test).agg(F.count(F.lit(1)).alias("users")).select(F.lit(side).alias("side"), "users")
+        for side, test in (("busy", F.col("n") >= 65), ("quiet", F.col("n") < 65))
+    ]
+    return sets.append(*parts)
+
+
 # --- filters -------------------------------------------------------------------
 
 
@@ -149,6 +163,21 @@ def null_predicates(t: Tables) -> DataFrame:
     )
 
 
+@check(
+    "column_predicates",
+    """SELECT l_returnflag AS flag, count(*) AS lines FROM lineitem WHERE l_quantity <> l_linenumber AND l_discount / nullif(l_tax, 0) >= 0.75
+      AND l_quantity BETWEEN 10 AND 40 AND l_linestatus NOT IN ('O') GROUP BY 1""",
+)
+def column_predicates(t: Tables) -> DataFrame:
+    ratio = numbers.nullable_rate(F.col("l_discount"), F.col("l_tax"))
+    return (
+        t.lineitem.filter(F.col("l_quantity") != F.col("l_linenumber"))
+        .filter((ratio >= 0.75) & F.col("l_quantity").between(10, 40) & ~F.col("l_linestatus").isin("O"))
+        .groupBy(F.col("l_returnflag").alias("flag"))
+        .agg(F.count(F.lit(1)).alias("lines"))
+    )
+
+
 @check("distinct_rows", "SELECT DISTINCT user_id, event_type FROM events")
 def distinct_rows(t: Tables) -> DataFrame:
     return t.events.select("user_id", "event_type").distinct()

@@ -65,11 +65,12 @@ def interval_sums(
 
     ``interval_id`` names columns that identify an interval row; ``end`` None means
     no upper bound, ``end_closed`` False excludes it.  Intervals and points meet on
-    a shared timeline, so no pair of them is ever formed.  Empty sums are 0.
+    a shared timeline, so no pair of them is ever formed.  Empty sums are 0; null keys
+    match nothing.
     """
     names = list(weights)
     zero = {name: F.lit(0).cast("decimal(28,2)") for name in names}
-    packed = points.groupBy(*keys, F.col(point_ts).alias("_at")).agg(
+    packed = points.dropna(subset=list(keys)).groupBy(*keys, F.col(point_ts).alias("_at")).agg(
         *[F.sum(w).cast("decimal(28,2)").alias(f"_w_{n}") for n, w in weights.items()]
     )
     stream = packed.select(*keys, "_at", F.lit(1).alias("_turn"), *[f"_w_{n}" for n in names])
@@ -135,7 +136,7 @@ def covering_count(
 ) -> DataFrame:
     """Add to each point the number of intervals with ``begin <= ts < end``."""
     payload = F.struct(*[F.col(c) for c in points.columns])
-    valid = intervals.filter(F.col(begin) < F.col(end))
+    valid = intervals.dropna(subset=list(keys)).filter(F.col(begin) < F.col(end))
     steps = [
         valid.select(*keys, F.col(at).alias("_at"), F.lit(step).alias("_w"))
         for at, step in ((begin, 1), (end, -1))

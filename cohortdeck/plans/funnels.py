@@ -62,19 +62,29 @@ def funnel_users(
 ) -> DataFrame:
     """One row per cohort and viewer: payment page seen, transactions, cash, resigned.
 
-    Every input is read once and reduced to its key before it is joined, so neither
-    sessions nor payments multiply each other.
+    Sessions and payments shrink to their key before they are joined, so they never
+    multiply each other.  Transactions meet the sessions in an inner join, which Spark
+    can split when one session holds much of them, and are summed per user at once.
     """
-    sessions = viewers.select("user_id", "session_id", *dims).distinct()
-    firsts = payment_views.groupBy("user_id", "session_id").agg(F.min("ts").alias("_first_view"))
-    rows = sessions.join(firsts, ["user_id", "session_id"], "left").join(
-        transactions.distinct(), ["user_id", "session_id"], "left"
+    keys = ["user_id", "session_id"]
+    sessions = viewers.select(*keys, *dims).distinct()
+    firsts = payment_views.groupBy(*keys).agg(F.min("ts").alias("_first_view"))
+    seen = sessions.join(firsts, keys, "left")
+    bought = (
+        transactions.distinct()
+        .join(seen.filter(F.col("_first_view").isNotNull()), keys)
+        .filter(F.col("_first_view") < F.col("ts"))
+        .groupBy(*dims, "user_id")
+        .agg(
+            F.count(F.lit(1)).alias("_trx"),
+            *[F.max(F.when(test, 1).otherwise(0)).alias(name) for name, test in packages.items()],
+        )
     )
-    counted = F.col("_first_view") < F.col("ts")
-    users = rows.groupBy(*dims, "user_id").agg(
-        F.max(F.when(F.col("_first_view").isNotNull(), 1).otherwise(0)).alias("_paying"),
-        F.count(F.when(counted, 1)).alias("_trx"),
-        *[F.max(F.when(counted & test, 1).otherwise(0)).alias(name) for name, test in packages.items()],
+    users = (
+        seen.filter(F.col("user_id").isNotNull())
+        .groupBy(*dims, "user_id")
+        .agg(F.max(F.when(F.col("_first_view").isNotNull(), 1).otherwise(0)).alias("_paying"))
+        .join(bought, [*dims, "user_id"], "left")
     )
     amount = money(F.coalesce(F.col("amount"), F.lit(0)))
     payments = cash.groupBy("user_id").agg(

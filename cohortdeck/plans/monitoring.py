@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortdeck import fixed_values as fixed
 from cohortdeck.functions.labels import first_match
 from cohortdeck.functions.numbers import int_div
-from cohortdeck.functions.texts import head, matches_none, slice_text, tail, text_length
+from cohortdeck.functions.texts import head, matches_none, slice_text, starts_with_param, tail, text_length
 from cohortdeck.functions.times import Moment, midnight, moment, shift, shift_days
 from cohortdeck.operators.aggregates import count_when, percent_of_total, top_rows
 from cohortdeck.operators.baselines import (
@@ -269,6 +269,43 @@ def hourly_alerts(
     )
 
 
+def summary_alerts(
+    summary: DataFrame, pages: DataFrame, page: str, page_name: str, as_of: Moment, **thresholds: int
+) -> DataFrame:
+    """Alarming pages of the hour before ``as_of``, from a stored hourly summary.
+
+    ``summary`` has the columns of ``hourly_baselines`` with the page as key and is
+    written by ``write_summary`` or day by day; only the wanted hour is read from it.
+    """
+    hour = F.date_trunc("hour", shift(as_of, -1, "HOUR")).cast("timestamp_ntz")
+    rule = tiered_alert(
+        F.col("executions"), F.col("weekly_average"), F.col("previous_hour"), F.col("yesterday"), **thresholds
+    )
+    found = summary.filter((F.col("hour_start") == hour) & rule)
+    return (
+        found.join(pages.select(page, page_name), [page])
+        .fillna(0, ["previous_hour", "yesterday", "weekly_average"])
+        .select(
+            F.to_date("hour_start").alias("log_date"),
+            F.hour("hour_start").alias("log_hour"),
+            page_name,
+            "executions",
+            "previous_hour",
+            "weekly_average",
+            "yesterday",
+        )
+        .orderBy(page_name)
+    )
+
+
+def message_trend(
+    log: DataFrame, ts: str, message: str, prefix: str, start: Moment | None = None, escape: bool = True
+) -> DataFrame:
+    """Daily counts of the messages beginning with ``prefix``."""
+    rows = between_moments(log, ts, start, None).filter(starts_with_param(F.col(message), prefix, escape))
+    return time_bucket_counts(rows, ts, "date")
+
+
 def _any(tests: Sequence[Column]) -> Column:
     found = tests[0]
     for test in tests[1:]:

@@ -76,12 +76,13 @@ def require_columns(df: DataFrame, schema: StructType) -> DataFrame:
 def write_weekly(df: DataFrame, path: str, ts: str) -> None:
     """Store a log partitioned by year and week instead of one table per week.
 
-    Rows are gathered per day, not per week, so a week is written by several tasks.
+    Rows of a week are brought together so that files are few, and a week that is too
+    large for one task is split again by the adaptive planner.
     """
     (
         df.withColumn("log_year", F.year(ts))
         .withColumn("log_week", us_week(F.col(ts)))
-        .repartition("log_year", "log_week", F.to_date(ts))
+        .hint("rebalance", "log_year", "log_week")
         .write.mode("overwrite")
         .partitionBy("log_year", "log_week")
         .parquet(path)
