@@ -473,7 +473,8 @@ def sum_squares(t: Tables) -> DataFrame:
 )
 def stdev_median(t: Tables) -> DataFrame:
     cents = t.lineitem.select("l_suppkey", F.round(F.col("l_extendedprice") * 100, 0).cast("bigint").alias("cents"))
-    return group_spread(cents, ["l_suppkey"], "cents").withColumn("deviation", F.round("deviation", 2))
+    spread = group_spread(cents, ["l_suppkey"], "cents")
+    return spread.select("l_suppkey", F.round("deviation", 2).alias("deviation"), "average", "median")
 
 
 @check(

@@ -109,13 +109,17 @@ def tiered_alert(
 
 
 def group_spread(df: DataFrame, keys: Sequence[str], value: str, cells: int = 32) -> DataFrame:
-    """Per group: ``deviation`` (sample, null for one row), ``average``, ``median``.
+    """Per group: ``rows``, ``total``, ``deviation`` (sample), ``average``, ``median``.
+
+    The deviation is of known values and null for one row.
 
     Pass ``cells=1`` when the values are counts (see ``value_ranks``).
     """
     whole = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
     average = int_div(F.sum(value), F.count(value)) if whole else F.avg(value)
     basic = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(value).alias("total"),
         F.stddev_samp(F.col(value).cast("double")).alias("deviation"), average.alias("average")
     )
     return null_safe_join(basic, exact_median(df, keys, value, "median", cells), keys, "left")

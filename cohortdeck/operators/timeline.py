@@ -209,7 +209,8 @@ def value_ranks(
         counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
         return counts.select("*", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(group).alias("_size"))
     celled = value_cells(known, value, cells)
-    totals = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_held"))
+    counts = celled.groupBy(*keys, "_cell", value).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_held"))
     earlier = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = totals.select(
         "*",
@@ -222,7 +223,6 @@ def value_ranks(
         placed = null_safe_join(placed, needs, keys)
     inside = [(F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_held")) for rank in ranks]
     wanted = placed.filter(reduce(lambda a, b: a | b, inside)).drop("_held")
-    counts = celled.groupBy(*keys, "_cell", value).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     near = null_safe_join(counts, wanted, [*keys, "_cell"])
     return near.select(

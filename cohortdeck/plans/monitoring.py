@@ -340,16 +340,11 @@ def slow_components(
     spread = group_spread(slow, keys, component_ms).filter(
         F.col("deviation").isNotNull() & (F.col("median") / 1000 > min_seconds)
     )
-    sums = slow.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"), F.sum(component_ms).alias("_sum"))
-    joined = null_safe_join(sums, spread, keys)
-    often = (F.col("occurrences") - F.col("median") / 1000) > F.col("deviation") / 1000 * deviations
+    often = (F.col("rows") - F.col("median") / 1000) > F.col("deviation") / 1000 * deviations
+    seconds = F.col("total").cast("decimal(28,3)") / 1000 / F.col("rows")
     return (
-        joined.filter(often & (F.col("occurrences") > min_count))
-        .select(
-            *keys,
-            "occurrences",
-            (F.col("_sum").cast("decimal(28,3)") / 1000 / F.col("occurrences")).cast("decimal(18,3)").alias("average_seconds"),
-        )
+        spread.filter(often & (F.col("rows") > min_count))
+        .select(*keys, F.col("rows").alias("occurrences"), seconds.cast("decimal(18,3)").alias("average_seconds"))
         .orderBy(F.col("occurrences").desc(), *keys)
     )
 
