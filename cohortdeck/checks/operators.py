@@ -32,6 +32,21 @@ def parameterised_query(t: Tables) -> DataFrame:
     return tables.query(t.spark, text, start="2024-01-03", least=20)
 
 
+@check(
+    "two_source_join",
+    """SELECT c_mktsegment AS segment, count(*) AS orders FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""",
+)
+def two_source_join(t: Tables) -> DataFrame:
+    tables.as_view(t.orders, "cohortdeck_orders")
+    remote = tables.catalog_table(t.spark, "cohortdeck_orders", ["o_custkey"])
+    counts = remote.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        counts.join(t.customer, ["c_custkey"])
+        .groupBy(F.col("c_mktsegment").alias("segment"))
+        .agg(F.sum("_n").alias("orders"))
+    )
+
+
 @check(
     "weekly_partition_scan",
     """SELECT event_type, count(*) AS n FROM events
@@ -518,6 +533,17 @@ def percent_of_total(t: Tables) -> DataFrame:
     return aggregates.percent_of_total(counts, "n", "percent")
 
 
+@check(
+    "dataset_totals",
+    """SELECT count(*) AS orders, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS filled FROM orders""",
+)
+def dataset_totals(t: Tables) -> DataFrame:
+    daily = t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("filled")
+    )
+    return aggregates.dataset_totals(daily, ["orders", "filled"])
+
+
 @check(
     "pivot_counts",
     """SELECT user_id, sum(CASE WHEN event_type = 'view' THEN n END)::BIGINT AS views,

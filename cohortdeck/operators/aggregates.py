@@ -60,6 +60,11 @@ def percent_of_total(df: DataFrame, measure: str, name: str, total: Column | Non
     return df.withColumn(name, percent(F.col(measure), total))
 
 
+def dataset_totals(df: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """One row with the sums a report shows under a dataset."""
+    return df.agg(*[F.sum(m).alias(m) for m in measures])
+
+
 def pivot_sum(
     df: DataFrame, rows: Sequence[str], column: str, values: dict, measure: Column, empty_zero: bool = False
 ) -> DataFrame:

@@ -69,9 +69,8 @@ def interval_sums(
     match nothing.
     """
     names = list(weights)
-    zero = {name: F.lit(0).cast("decimal(28,2)") for name in names}
     packed = points.dropna(subset=list(keys)).groupBy(*keys, F.col(point_ts).alias("_at")).agg(
-        *[F.sum(w).cast("decimal(28,2)").alias(f"_w_{n}") for n, w in weights.items()]
+        *[F.sum(w).alias(f"_w_{n}") for n, w in weights.items()]
     )
     stream = packed.select(*keys, "_at", F.lit(1).alias("_turn"), *[f"_w_{n}" for n in names])
     id_type = F.struct(*interval_id)
@@ -95,7 +94,7 @@ def interval_sums(
                 ]
             )
         ).alias("_m"),
-    ).select(*keys, "_id", "_m.*", *[zero[n].alias(f"_w_{n}") for n in names])
+    ).select(*keys, "_id", "_m.*", *[F.lit(0).alias(f"_w_{n}") for n in names])
     line = stream.unionByName(marks, allowMissingColumns=True).withColumn("_cell", _cell(grain))
     ran = running_total(line, keys, "_cell", ["_at", "_turn"], {n: f"_w_{n}" for n in names})
     sums = (
@@ -118,10 +117,9 @@ def interval_counts(
     **options,
 ) -> DataFrame:
     """Number of points inside each interval (see ``interval_sums``)."""
-    found = interval_sums(
+    return interval_sums(
         intervals, interval_id, begin, end, points, point_ts, keys, {name: F.lit(1)}, **options
     )
-    return found.withColumn(name, F.col(name).cast("bigint"))
 
 
 def covering_count(

@@ -76,3 +76,28 @@ def test_staged_result_cuts_the_plan(spark, rows):
     kept = tables.staged(df, "groups")
     assert rows(kept) == rows(df)
     assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+class FakeReader:
+    """Records what a reader is asked for."""
+
+    def __init__(self):
+        self.read = self
+        self.seen = {}
+
+    def format(self, name):
+        self.seen["format"] = name
+        return self
+
+    def options(self, **options):
+        self.seen.update(options)
+        return self
+
+    def load(self):
+        return self.seen
+
+
+def test_remote_tables_are_read_in_ranges():
+    seen = tables.jdbc_table(FakeReader(), "jdbc:x://h/db", "dbo.trx", "trx_id", 0, 1000, 8, user="u")
+    assert seen["format"] == "jdbc" and seen["dbtable"] == "dbo.trx" and seen["user"] == "u"
+    assert (seen["partitionColumn"], seen["lowerBound"], seen["upperBound"], seen["numPartitions"]) == ("trx_id", "0", "1000", "8")
