@@ -712,15 +712,15 @@ def decimal_casts(t: Tables) -> DataFrame:
     )
 
 
-@check(
-    "xml_extract",
-    """WITH x AS (SELECT event_id, '<Log><Score>' || CAST(CAST(value / 10 AS DECIMAL(18,3)) AS VARCHAR) || '</Score><IsInTest>'
+XML_SQL = """WITH x AS (SELECT event_id, '<Log><Score>' || CAST(CAST(value / 10 AS DECIMAL(18,3)) AS VARCHAR) || '</Score><IsInTest>'
         || CASE WHEN event_type = 'view' THEN 'True' ELSE 'false' END || '</IsInTest>'
         || CASE WHEN value < 50 THEN '<Honored>1</Honored>' ELSE '' END || '</Log>' AS details FROM events)
     SELECT event_id, CAST(regexp_extract(details, '<Score>([0-9.]*)</Score>', 1) AS DOUBLE) AS score,
       CASE WHEN lower(regexp_extract(details, '<IsInTest>(.*)</IsInTest>', 1)) = 'true' THEN 1 ELSE 0 END::BIGINT AS in_test,
-      CASE WHEN details LIKE '%<Honored>%' THEN 1 ELSE 0 END::BIGINT AS honored FROM x""",
-)
+      CASE WHEN details LIKE '%<Honored>%' THEN 1 ELSE 0 END::BIGINT AS honored FROM x"""
+
+
+@check("xml_extract", XML_SQL)
 def xml_extract(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", details_of(F.col("value"), F.col("event_type")).alias("details"))
     details = F.col("details")
@@ -732,6 +732,18 @@ def xml_extract(t: Tables) -> DataFrame:
     )
 
 
+@check("xml_record", XML_SQL)
+def xml_record(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", details_of(F.col("value"), F.col("event_type")).alias("details"))
+    parsed = extract.xml_record(F.col("details"), "Score decimal(20,5), IsInTest string, Honored int")
+    return rows.select("event_id", parsed.alias("d")).select(
+        "event_id",
+        F.col("d.Score").alias("score"),
+        F.when(extract.is_true(F.col("d.IsInTest")), 1).otherwise(0).alias("in_test"),
+        F.coalesce("d.Honored", F.lit(0)).alias("honored"),
+    )
+
+
 def details_of(value, event_type):
     """An XML detail text made from an event."""
     score = (value / 10).cast("decimal(18,3)").cast("string")

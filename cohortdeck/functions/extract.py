@@ -20,3 +20,12 @@ def json_value(json: Column, path: str, kind: str = "string") -> Column:
 def is_true(flag: Column) -> Column:
     """Text flag compared without regard to case; null counts as false."""
     return F.coalesce(F.lower(flag) == "true", F.lit(False))
+
+
+def xml_record(xml: Column, schema: str) -> Column:
+    """The tags right under the root as a struct; absent or bad values are null.
+
+    For several values of one text: it is parsed once, while every ``xml_value`` call
+    parses it again (but reaches any depth).
+    """
+    return F.from_xml(xml, schema)

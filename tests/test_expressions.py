@@ -110,6 +110,13 @@ def test_xml_values(spark):
     assert values(spark, extract.xml_value(F.col("x"), "//B", "int"), xml, "x string") == [None, None, None]
 
 
+def test_xml_record_parses_once(spark):
+    xml = [("<L><Score>1.50</Score><B>x</B></L>",), ("<L><Other/></L>",), (None,)]
+    record = extract.xml_record(F.col("x"), "Score decimal(20,5), B string")
+    assert values(spark, record["Score"], xml, "x string") == [Decimal("1.50000"), None, None]
+    assert values(spark, record["B"], xml, "x string") == ["x", None, None]
+
+
 def test_sites_and_platforms(spark):
     hosts = [("DA1WEB141",), ("EC1WEB211",), ("DA1WEB010",)]
     assert values(spark, monitoring.site_of(F.col("h")), hosts, "h string") == ["ClearView", "DuPont", "ClearView"]
