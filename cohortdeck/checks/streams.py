@@ -47,3 +47,16 @@ def rolling_alert_stream(t: Tables) -> DataFrame:
 def new_message_stream(t: Tables) -> DataFrame:
     log = _stream(t).withColumn("message", F.concat("event_type", F.lit("#"), "props"))
     return _run(t, monitors.first_seen_messages(log, "ts", "message", "40 days"), "first-seen").select("message_start")
+
+
+@check(
+    "message_bursts",
+    """WITH m AS (SELECT event_type || '#' || props AS message_start, ts FROM events),
+      g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY message_start ORDER BY ts) + INTERVAL 30 HOUR THEN 0 ELSE 1 END AS opens FROM m),
+      n AS (SELECT *, sum(opens) OVER (PARTITION BY message_start ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)
+    SELECT message_start, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS total
+    FROM n GROUP BY message_start, burst""",
+)
+def message_bursts(t: Tables) -> DataFrame:
+    log = t.events.withColumn("message", F.concat("event_type", F.lit("#"), "props"))
+    return monitors.message_bursts(log, "ts", "message", "30 hours")

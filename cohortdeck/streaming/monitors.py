@@ -75,6 +75,34 @@ def first_seen_messages(
     )
 
 
+def message_bursts(
+    log: DataFrame,
+    ts: str,
+    message: str,
+    quiet: str = "5 hours",
+    late: str = "10 minutes",
+    prefix: tuple[int, int] = fixed.MESSAGE_PREFIX,
+) -> DataFrame:
+    """Every time a message beginning shows up after being unseen for ``quiet``.
+
+    One row per burst with its first and last time and its rows.  The exact record to
+    ``first_seen_messages``' early warning: a stream hands a burst out once it is over.
+    Rows closer than ``quiet`` belong together, so a batch is first summed per message
+    and stretch of that length, and a message met everywhere shrinks before it moves.
+    """
+    rows = _timed(log, ts).select(ts, slice_text(F.col(message), *prefix).alias("message_start"))
+    first, last, total = F.min("_first").alias("first_ts"), F.max("_last").alias("last_ts"), F.sum("_n").alias("total")
+    if log.isStreaming:
+        single = rows.withWatermark(ts, late).select("*", *[F.col(ts).alias(n) for n in ("_first", "_last")], F.lit(1).alias("_n"))
+        return single.groupBy(F.session_window(ts, quiet).alias("_s"), "message_start").agg(first, last, total).drop("_s")
+    stretches = rows.groupBy(F.window(ts, quiet).alias("_w"), "message_start").agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
+    )
+    length = (F.unix_micros("_last") - F.unix_micros("_first")).cast("string")
+    gap = F.concat(length, F.lit(f" microseconds {quiet}"))
+    return stretches.groupBy(F.session_window("_first", gap).alias("_s"), "message_start").agg(first, last, total).drop("_s")
+
+
 def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Process what is there, append it to parquet files and read them back."""
     query = (

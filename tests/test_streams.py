@@ -52,3 +52,13 @@ def test_messages_are_reported_once_within_memory(spark, tmp_path, rows):
     stream = feed(spark, str(tmp_path / "in"), batches)
     found = run(monitors.first_seen_messages(stream, "ts", "key", "2 hours"), str(tmp_path))
     assert rows(found, "message_start") == [("x",), ("x",), ("y",), ("z",)]
+
+
+def test_bursts_start_after_silence(spark, tmp_path, rows):
+    batches = [[(at(1), "x"), (at(1, 30), "x")], [(at(3, 29), "x"), (at(2), "y")], [(at(6), "x")], [(at(23), "end")]]
+    stream = feed(spark, str(tmp_path / "in"), batches)
+    found = run(monitors.message_bursts(stream, "ts", "key", "2 hours"), str(tmp_path))
+    expected = [("x", at(1), at(3, 29), 3), ("x", at(6), at(6), 1), ("y", at(2), at(2), 1)]
+    assert rows(found, "message_start", "first_ts", "last_ts", "total") == expected
+    rest = spark.createDataFrame([r for b in batches[:3] for r in b], SCHEMA)
+    assert rows(monitors.message_bursts(rest, "ts", "key", "2 hours"), "message_start", "total") == [("x", 1), ("x", 3), ("y", 1)]
