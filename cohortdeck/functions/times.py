@@ -47,8 +47,8 @@ def days_between(start: Column, end: Column) -> Column:
 
 def seconds_between(start: Column, end: Column) -> Column:
     """Second boundaries crossed: 0.9 s to 1.1 s counts as 1."""
-    whole = [F.date_trunc("second", c) for c in (start, end)]
-    return F.timestamp_diff("SECOND", *whole)
+    clock = [F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c) for c in (start, end)]
+    return F.datediff(end, start).cast("bigint") * 86400 + clock[1] - clock[0]
 
 
 def us_week(ts: Column) -> Column:

@@ -46,7 +46,17 @@ def running_total(
 
 
 def _cell(grain: str) -> Column:
-    return F.date_trunc(grain, F.col("_at"))
+    """Number of the minute, hour, day, month or year of ``_at``, free of time zones."""
+    at = F.col("_at")
+    day = F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date"))
+    cells = {
+        "minute": (day * 24 + F.hour(at)) * 60 + F.minute(at),
+        "hour": day * 24 + F.hour(at),
+        "day": day,
+        "month": F.year(at) * 12 + F.month(at),
+        "year": F.year(at),
+    }
+    return cells[grain]
 
 
 def interval_sums(

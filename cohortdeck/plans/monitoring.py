@@ -277,7 +277,8 @@ def summary_alerts(
     ``summary`` has the columns of ``hourly_baselines`` with the page as key and is
     written by ``write_summary`` or day by day; only the wanted hour is read from it.
     """
-    hour = F.date_trunc("hour", shift(as_of, -1, "HOUR")).cast("timestamp_ntz")
+    before = shift(as_of, -1, "HOUR")
+    hour = shift(midnight(before), F.hour(before), "HOUR")
     rule = tiered_alert(
         F.col("executions"), F.col("weekly_average"), F.col("previous_hour"), F.col("yesterday"), **thresholds
     )

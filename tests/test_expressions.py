@@ -76,6 +76,9 @@ def test_seconds_count_boundaries(spark):
     a, b = dt.datetime(2024, 1, 1, 0, 0, 0, 900000), dt.datetime(2024, 1, 1, 0, 0, 1, 100000)
     found = values(spark, times.seconds_between(F.col("a"), F.col("b")), [(a, b)], "a timestamp_ntz, b timestamp_ntz")
     assert found == [1]
+    week = [(dt.datetime(2024, 1, 1, 12, 0, 5), dt.datetime(2024, 1, 8, 12, 0, 4)), (dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 1))]
+    found = values(spark, times.seconds_between(F.col("a"), F.col("b")), week, "a timestamp_ntz, b timestamp_ntz")
+    assert found == [604799, -86400]
 
 
 @pytest.mark.parametrize(

@@ -106,6 +106,24 @@ def test_intervals_on_a_hot_key_equal_brute_force(spark, grain):
     assert {r.id: r.n for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("grain", ["minute", "hour"])
+def test_intervals_over_a_clock_change(spark, rows, grain):
+    """Zone-free times in the hour a session's zone skips keep their order."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        times = [dt.datetime(2024, 3, 10, h, m) for h in (1, 2, 3) for m in (10, 40)]
+        points = spark.createDataFrame([(1, t) for t in times], "u int, ts timestamp_ntz")
+        spans = spark.createDataFrame(
+            [("gap", 1, dt.datetime(2024, 3, 10, 2), dt.datetime(2024, 3, 10, 3)), ("late", 1, dt.datetime(2024, 3, 10, 3), dt.datetime(2024, 3, 10, 3, 20))],
+            "id string, u int, b timestamp_ntz, e timestamp_ntz",
+        )
+        found = timeline.interval_counts(spans, ["id"], F.col("b"), F.col("e"), points, "ts", ["u"], "n", grain=grain)
+        assert rows(found) == [("gap", 2), ("late", 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 # --- order statistics ---------------------------------------------------------------------
 
 
