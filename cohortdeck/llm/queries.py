@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortdeck.llm import lengths, packing
+from cohortdeck.llm import lengths, lines, packing
 from cohortdeck.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,31 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+LINE_DEDUP_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n
+  FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM cut),
+first AS (
+  SELECT k, min(doc_id) AS keeper FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper < doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN first USING (k) GROUP BY doc_id"""
+
+
+@query("op4_line_dedup", LINE_DEDUP_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier one has."""
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 @query("op5_length_histogram")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals per language for every context limit at which anything changes."""
