@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortdeck.llm import decontamination, lengths, lines, minhash, packing, quality
 from cohortdeck.llm.common import table
 
@@ -100,3 +101,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, one row per piece."""
     return packing.digest(packing.harmonic_pack(table(spark, sf_dir, "documents")))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw documents to packed sequences."""
+    return corpus_pipeline.run(spark, sf_dir)
