@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortdeck.llm import decontamination, lengths, lines, minhash, packing, quality
+from cohortdeck.llm import decontamination, langid, lengths, lines, minhash, packing, quality
 from cohortdeck.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.language_of_each(table(spark, sf_dir, "documents"))
+
+
 @query("op10_harmonic_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, one row per piece."""
