@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortdeck.llm import decontamination, langid, lengths, lines, minhash, packing, quality
-from cohortdeck.llm.common import table
+from cohortdeck.llm import decontamination, langid, lengths, lines, minhash, packing, quality, secrets
+from cohortdeck.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_secret_ledger", secrets.sql_of())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, each a path with one version, on a ledger that starts empty."""
+    docs = table(spark, sf_dir, "documents")
+    history = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    found = secrets.findings(history, staged(secrets.scan_unseen(history), "blob-ledger"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*[rule.kind for rule in secrets.BASE_RULES]))
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == r.kind)).cast("bigint").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    return found.select(
+        F.col("path").alias("doc_id"), *counts, F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 LINE_DEDUP_SQL = r"""
 WITH cut AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
