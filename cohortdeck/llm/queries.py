@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortdeck.llm import decontamination, langid, lengths, lines, minhash, packing, quality, secrets
+from cohortdeck.llm import decontamination, langid, lengths, lines, minhash, outliers, packing, quality, secrets
 from cohortdeck.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, the base rules and the robust outlier verdict."""
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
 @query("op2_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, and where."""
