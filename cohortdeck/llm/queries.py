@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortdeck.llm import decontamination, langid, lengths, lines, minhash, outliers, packing, quality, secrets
+from cohortdeck.llm import decontamination, html, langid, lengths, lines, minhash, outliers, packing, quality, secrets
 from cohortdeck.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_histogram(table(spark, sf_dir, "documents"), ["lang"]), ["lang"])
 
 
+@query("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 NEAR_DUPLICATES_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
