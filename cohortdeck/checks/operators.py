@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, LongType, StringType, StructField, StructType
@@ -59,6 +61,18 @@ def weekly_partition_scan(t: Tables) -> DataFrame:
     return tables.read_week(t.spark, path, 2024, 3).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@check(
+    "weekly_range_scan",
+    """SELECT event_type, count(*) AS n FROM (SELECT event_type, ts - INTERVAL 20 DAY AS ts FROM events)
+    WHERE ts >= TIMESTAMP '2023-12-27 06:30:00' AND ts < TIMESTAMP '2024-01-04' GROUP BY event_type""",
+)
+def weekly_range_scan(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "weekly-log")
+    tables.write_weekly(t.events.withColumn("ts", times.shift(F.col("ts"), -20, "DAY")), path, "ts")
+    found = tables.read_between(t.spark, path, "ts", datetime(2023, 12, 27, 6, 30), datetime(2024, 1, 4))
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @check(
     "summary_sink_roundtrip",
     """SELECT c_mktsegment AS "Segment", count(*) AS "Users",
@@ -350,6 +364,45 @@ def point_in_interval(t: Tables) -> DataFrame:
     )
 
 
+@check(
+    "interval_money",
+    """WITH m AS (SELECT user_id, ts, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END * CAST(round(value * 100) AS BIGINT) AS cents
+      FROM events WHERE event_type IN ('error', 'purchase'))
+    SELECT s.event_id AS sale_id, CAST(coalesce(sum(m.cents), 0) AS DOUBLE) / 100 AS balance FROM events s
+    LEFT JOIN m ON m.user_id = s.user_id AND m.ts BETWEEN s.ts AND s.ts + INTERVAL 100 HOUR
+    WHERE s.event_type = 'purchase' GROUP BY 1""",
+)
+def interval_money(t: Tables) -> DataFrame:
+    """Purchases less refunds within 100 hours of each purchase; balances may be negative."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    moves = t.events.filter(F.col("event_type").isin("error", "purchase")).select(
+        "user_id", "ts", F.when(F.col("event_type") == "error", -cents).otherwise(cents).alias("cents")
+    )
+    end = times.shift(F.col("ts"), 100, "HOUR")
+    sums = timeline.interval_sums(t.sales, ["sale_id"], F.col("ts"), end, moves, "ts", ["user_id"], {"cents": F.col("cents")})
+    return sums.select("sale_id", (F.col("cents").cast("double") / 100).alias("balance"))
+
+
+@check(
+    "top_half_by_time",
+    """WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id, ts) AS n,
+      count(*) OVER (PARTITION BY event_type) AS size FROM (SELECT DISTINCT ON (event_type, user_id, ts) * FROM events ORDER BY event_id))
+    SELECT event_id FROM r WHERE n <= (size + 1) // 2""",
+)
+def top_half_by_time(t: Tables) -> DataFrame:
+    once = t.events.groupBy("event_type", "user_id", "ts").agg(F.min("event_id").alias("event_id"))
+    return timeline.top_half(once, ["event_type"], "user_id", "ts").select("event_id")
+
+
+@check(
+    "package_lengths",
+    """SELECT CASE WHEN l_quantity * 7 <= 30 THEN 1 WHEN l_quantity * 7 <= 100 THEN 3 WHEN l_quantity * 7 <= 200 THEN 6 ELSE 12 END::BIGINT AS months,
+      count(*) AS n FROM lineitem GROUP BY 1""",
+)
+def package_lengths(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy(labels.package_months(F.col("l_quantity") * 7).alias("months")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @check(
     "validity_join",
     """SELECT p.event_id, CASE WHEN count(v.ts) > 0 THEN 'Sub' ELSE 'Non-Sub' END AS state, count(v.ts) AS held

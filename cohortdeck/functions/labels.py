@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortdeck import fixed_values as fixed
 from cohortdeck.functions.texts import char_at
 from cohortdeck.functions.times import Moment, moment
 
@@ -36,6 +37,12 @@ def band(value: Column, edges: Sequence, labels: Sequence[str]) -> Column:
     return first_match(rules)
 
 
+def package_months(days: Column, edges: Sequence[int] = fixed.PACKAGE_DAY_EDGES) -> Column:
+    """Package length in months from its length in days."""
+    rules = [(days <= edge, months) for edge, months in zip(edges, fixed.PACKAGE_DAY_MONTHS)]
+    return first_match([*rules, (days > edges[-1], fixed.PACKAGE_DAY_MONTHS[-1])])
+
+
 def letter_of(number: Column) -> Column:
     """1 to A, 2 to B ... 26 to Z; null outside."""
     return F.when(number.between(1, 26), F.chr(number.cast("bigint") + 64))

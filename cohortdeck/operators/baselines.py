@@ -135,12 +135,12 @@ def low_outliers(
     spread = null_safe_join(df, group_spread(df, keys, value, cells), keys)
     below = F.col("median") - F.col(value)
     allowed = F.col("deviation") * deviations
-    missed = F.try_divide(below.cast("decimal(20,0)"), allowed.cast("decimal(10,0)")) - 1
+    missed = F.try_divide(below.cast("decimal(20,0)"), allowed.cast("decimal(20,0)")) - 1
     return (
-        spread.withColumn("allowed_variance", allowed.cast("decimal(10,0)"))
+        spread.withColumn("allowed_variance", allowed.cast("decimal(20,0)"))
         .withColumn("actual_variance", below)
-        .withColumn("miss_ratio", missed.cast("decimal(10,2)"))
-        .filter((missed >= F.lit(str(miss)).cast("decimal(10,2)")) & (below > allowed))
+        .withColumn("miss_ratio", missed.cast("decimal(28,2)"))
+        .filter((missed >= F.lit(str(miss)).cast("decimal(28,2)")) & (below > allowed))
     )
 
 
@@ -163,7 +163,7 @@ def high_outliers(
         ((count - F.col("median")) > F.col("deviation") * deviations)
         & (count > F.col("average") * over_average)
         & (count > floor)
-        & (F.col("deviation").cast("int") > 0)
+        & (F.col("deviation") >= 1)
     )
 
 

@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` where null equals null; the left key columns are kept."""
+    """Join on ``keys`` where null equals null; the left key columns are kept.
+
+    Without keys the right side is one row, which each left row gets.
+    """
+    if not keys:
+        names = right.columns
+        if not names:
+            return left
+        only = right.select(F.struct(*names)).scalar()
+        return left.withColumn("_only", only).select(*left.columns, *[F.col(f"_only.{c}").alias(c) for c in names])
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
-    if not keys:
-        raise ValueError("a join needs at least one key")
     test = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, test, how).drop(*[f"_r_{k}" for k in keys])
 

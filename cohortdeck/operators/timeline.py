@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 from cohortdeck.operators.joins import null_safe_join
 
@@ -22,7 +23,9 @@ def running_total(
 ) -> DataFrame:
     """Add per-key running sums: ``weights`` maps result columns to weight columns.
 
-    ``cell`` must not decrease along ``order``.
+    ``cell`` must not decrease along ``order``.  Offsets join by plain equality, which
+    keeps the partitioning of the sums inside cells; a row with a null key or cell gets
+    the sum inside its own (null) cell only.
     """
     inside = Window.partitionBy(*keys, cell).orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
@@ -39,9 +42,9 @@ def running_total(
             for out, w in weights.items()
         ],
     )
-    joined = null_safe_join(local, offsets, [*keys, cell])
+    joined = local.join(offsets, [*keys, cell], "left")
     return joined.select(
-        *df.columns, *[(F.col(f"_l_{out}") + F.col(f"_o_{out}")).alias(out) for out in weights]
+        *df.columns, *[(F.col(f"_l_{out}") + F.coalesce(F.col(f"_o_{out}"), F.lit(0))).alias(out) for out in weights]
     )
 
 
@@ -76,15 +79,19 @@ def interval_sums(
     ``interval_id`` names columns that identify an interval row; ``end`` None means
     no upper bound, ``end_closed`` False excludes it.  Intervals and points meet on
     a shared timeline, so no pair of them is ever formed.  Empty sums are 0; null keys
-    match nothing.
+    and bounds, and a begin after its end, match nothing.  Weights are whole numbers or
+    decimals: the sums are differences of running totals, which lose digits in doubles.
     """
     names = list(weights)
-    packed = points.dropna(subset=list(keys)).groupBy(*keys, F.col(point_ts).alias("_at")).agg(
+    packed = points.dropna(subset=[*keys, point_ts]).groupBy(*keys, F.col(point_ts).alias("_at")).agg(
         *[F.sum(w).alias(f"_w_{n}") for n, w in weights.items()]
     )
+    inexact = [n for n in names if not isinstance(packed.schema[f"_w_{n}"].dataType, IntegralType | DecimalType)]
+    if inexact:
+        raise TypeError(f"interval sums need whole numbers or decimals: {', '.join(inexact)}")
     stream = packed.select(*keys, "_at", F.lit(1).alias("_turn"), *[f"_w_{n}" for n in names])
     id_type = F.struct(*interval_id)
-    both_known = begin.isNotNull() if end is None else begin.isNotNull() & end.isNotNull()
+    forward = begin.isNotNull() if end is None else begin <= end
     bounds = [(begin, 0, -1)]
     # an open end is placed after everything; a closed one after its own instant
     open_end = F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz")
@@ -96,7 +103,7 @@ def interval_sums(
             F.array(
                 *[
                     F.struct(
-                        F.when(both_known, at.cast("timestamp_ntz")).alias("_at"),
+                        F.when(forward, at.cast("timestamp_ntz")).alias("_at"),
                         F.lit(turn).alias("_turn"),
                         F.lit(sign).alias("_sign"),
                     )
@@ -112,7 +119,7 @@ def interval_sums(
         .groupBy("_id")
         .agg(*[F.sum(F.col(n) * F.col("_sign")).alias(n) for n in names])
     )
-    return sums.select("_id.*", *[F.greatest(F.col(n), F.lit(0)).alias(n) for n in names])
+    return sums.select("_id.*", *names)
 
 
 def interval_counts(
@@ -173,23 +180,36 @@ def _search_sql(low: int, high: int) -> str:
     return f"CASE WHEN _number <= _grid.cuts[{middle}] THEN {lower} ELSE {upper} END"
 
 
-def value_cells(df: DataFrame, value: str, coarse: int = 32) -> DataFrame:
-    """Add ``_cell``, an ordered range of values holding few rows of the whole table.
+def _number(df: DataFrame, value: str) -> Column:
+    """A number that rises with the column: times in microseconds, of texts the first bytes."""
+    kind, column = dict(df.dtypes)[value], F.col(value)
+    if kind == "string":
+        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(column.cast("timestamp")).cast("double")
+    return column.cast("double")
 
-    Coarse ranges come from approximate quantiles of all rows (a one-row subquery);
-    each is cut evenly so that there are about as many cells as rows in a cell.  A
-    group with much of the data also owns most of the cells.  Nothing depends on the
-    cuts being exact, only on their order.
+
+def value_cells(counts: DataFrame, keys: Sequence[str], value: str, coarse: int = 32) -> DataFrame:
+    """Add ``_cell``, an ordered range of a group's values, to (keys, value, ...), one row per value.
+
+    Coarse ranges come from approximate quantiles of each group's different values, summed
+    before they move; each is cut evenly, so that a group has about as many cells as
+    values in a cell, also where it lies in the tail of the table.  Nothing depends on
+    the cuts being exact, only on their order.
     """
-    number = F.col(value).cast("double")
+    numbered = counts.withColumn("_number", _number(counts, value))
     steps = [i / coarse for i in range(coarse + 1)]
-    grid = df.agg(
+    grid = numbered.groupBy(*keys).agg(
         F.struct(
-            F.percentile_approx(number, steps, 1000).alias("cuts"),
+            F.percentile_approx("_number", steps, 1000).alias("cuts"),
             F.ceil(F.sqrt(F.count(F.lit(1))) / coarse).alias("parts"),
-        )
-    ).scalar()
-    placed = df.withColumns({"_grid": grid, "_number": number}).withColumn("_range", F.expr(_search_sql(1, coarse)))
+        ).alias("_grid")
+    )
+    placed = null_safe_join(numbered, grid, keys).withColumn("_range", F.expr(_search_sql(1, coarse)))
     inner = F.expr("width_bucket(_number, _grid.cuts[_range - 1], _grid.cuts[_range], _grid.parts)")
     cell = F.col("_range") * (F.col("_grid.parts") + 2) + F.coalesce(inner, F.lit(0))
     return placed.withColumn("_cell", cell).drop("_grid", "_number", "_range")
@@ -212,12 +232,11 @@ def value_ranks(
     """
     known = df.filter(F.col(value).isNotNull()).select(*keys, value)
     group = Window.partitionBy(*keys)
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     if cells == 1:
         upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
         return counts.select("*", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(group).alias("_size"))
-    celled = value_cells(known, value, cells)
-    counts = celled.groupBy(*keys, "_cell", value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = value_cells(counts, keys, value, cells)
     totals = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_held"))
     earlier = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = totals.select(

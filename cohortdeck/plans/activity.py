@@ -80,7 +80,7 @@ def daily_share(df: DataFrame, ts: str, flag: Column, start: Moment | None = Non
 def population_share(summary: DataFrame, group: str, size: str) -> DataFrame:
     """Each group's part of the summed population."""
     total = summary.agg(F.sum(size)).scalar()
-    share = F.try_divide(F.sum(size).cast("decimal(18,2)"), total.cast("decimal(10,2)"))
+    share = F.try_divide(F.sum(size).cast("decimal(28,2)"), total.cast("decimal(28,2)"))
     return summary.groupBy(group).agg(share.cast("decimal(18,6)").alias("share")).orderBy(group)
 
 

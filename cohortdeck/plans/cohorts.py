@@ -95,7 +95,7 @@ def dated_cohort_counts(
     test = dated_cohort(cohort_digit(F.col(guid), position), F.col(ts), schedule, control)
     measure = F.count(F.lit(1)) if distinct is None else F.count_distinct(distinct)
     counts = rows.groupBy(*by, test.alias("_cohort")).agg(measure.alias("_n"))
-    scaled = (F.col("_n") * F.lit(control_factor).cast("decimal(10,5)")).cast("decimal(10,0)")
+    scaled = (F.col("_n") * F.lit(control_factor).cast("decimal(10,5)")).cast("decimal(28,0)")
     is_control = F.col("_cohort") == control
     others = dict.fromkeys(label for label, *_ in schedule)
     return counts.groupBy(*by).agg(

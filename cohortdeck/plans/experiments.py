@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cohortdeck.functions.labels import code_label
 from cohortdeck.functions.numbers import lift_percent, money, percent
 from cohortdeck.operators.sets import append
-from cohortdeck.operators.timeline import interval_sums
 
 
 def price_test_buyers(sales: DataFrame, dims: Sequence[str], split: Sequence[str] = ()) -> DataFrame:
@@ -34,35 +33,44 @@ def price_test_summary(buyers: DataFrame, trx: DataFrame, resigned: DataFrame, d
     once per row.  Only cohorts with all four measures appear.
     """
     gone = resigned.select("user_id").distinct().withColumn("_gone", F.lit(1))
-    counted = (
-        buyers.groupBy("user_id", "first_ts", *dims)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.sum("first_amount").alias("_first"))
-        .join(gone, ["user_id"], "left")
+    counted = buyers.groupBy("user_id", "first_ts", *dims).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("first_amount").alias("_first")
+    )
+    cash = trx.filter("is_cash").groupBy("user_id", F.col("ts").alias("_ts")).agg(
+        F.sum(money(F.col("amount"))).alias("_sum"),
+        F.sum(F.when(F.col("is_renewal"), money(F.col("amount")))).alias("_renewal_sum"),
+        F.count_if("is_renewal").alias("_renewals"),
+    )
+    # A user has few buyer rows, so payments meet them directly and late ones are added up.
+    late = F.col("_ts") >= F.col("first_ts")
+    per_row = (
+        counted.join(cash, ["user_id"], "left")
+        .groupBy("user_id", "first_ts", "_rows", "_first", *dims)
+        .agg(
+            F.sum(F.when(late, F.col("_sum"))).alias("_cash"),
+            F.max(late).alias("_paid"),
+            F.sum(F.when(late, F.col("_renewal_sum"))).alias("_renewal"),
+            F.max(late & (F.col("_renewals") > 0)).alias("_renewed"),
+        )
     )
-    renewal = F.col("is_cash") & F.col("is_renewal")
-    later = interval_sums(
-        counted,
-        ["user_id", "first_ts", "_rows", "_first", "_gone", *dims],
-        F.col("first_ts"),
-        None,
-        trx,
-        "ts",
-        ["user_id"],
-        {
-            "_cash": F.when(F.col("is_cash"), money(F.col("amount"))).otherwise(0),
-            "_paid": F.when(F.col("is_cash"), 1).otherwise(0),
-            "_renewal": F.when(renewal, money(F.col("amount"))).otherwise(0),
-            "_renewed": F.when(renewal, 1).otherwise(0),
-        },
-        grain="month",
+    rows = F.col("_rows")
+    per_user = (
+        per_row.groupBy("user_id", *dims)
+        .agg(
+            F.max("_paid").alias("_paid"),
+            F.sum(F.when(F.col("_paid"), F.coalesce("_cash", F.lit(0)) * rows)).alias("_cash"),
+            F.sum("_first").alias("_first"),
+            F.sum(F.when(F.col("_renewed"), F.coalesce("_renewal", F.lit(0)) * rows)).alias("_renewal"),
+        )
+        .join(gone, ["user_id"], "left")
     )
-    user, rows = F.col("user_id"), F.col("_rows")
-    totals = later.groupBy(*dims).agg(
-        F.count_distinct(F.when(F.col("_paid") > 0, user)).alias("users"),
-        F.sum(F.when(F.col("_paid") > 0, F.col("_cash") * rows)).cast("decimal(28,2)").alias("total_cash"),
+    known = F.col("user_id").isNotNull()
+    totals = per_user.groupBy(*dims).agg(
+        F.count_if(F.col("_paid") & known).alias("users"),
+        F.sum("_cash").cast("decimal(28,2)").alias("total_cash"),
         F.sum("_first").cast("decimal(28,2)").alias("initial_cash"),
-        F.sum(F.when(F.col("_renewed") > 0, F.col("_renewal") * rows)).cast("decimal(28,2)").alias("renewal_cash"),
-        F.count_distinct(F.when(F.col("_gone") == 1, user)).alias("resignations"),
+        F.sum("_renewal").cast("decimal(28,2)").alias("renewal_cash"),
+        F.count_if((F.col("_gone") == 1) & known).alias("resignations"),
     )
     return totals.filter(
         (F.col("users") > 0)
@@ -99,7 +107,7 @@ def index_to_control(
         return indexed
     # the summary has one row per cohort, so this window holds a handful of rows
     base = F.sum(F.when(is_control, F.col(conversion_of).cast("decimal(24,4)") * part))
-    control_size = base.over(Window.partitionBy(*within)).cast("decimal(10,2)")
+    control_size = base.over(Window.partitionBy(*within)).cast("decimal(28,2)")
     indexed = indexed.withColumn("_control", control_size)
     lift = F.when(is_control, F.lit(0).cast("decimal(36,2)")).otherwise(
         lift_percent(F.col(conversion_of), F.col("_control"))
@@ -172,7 +180,7 @@ def message_test(
         F.count_if((F.col("kind") == "met") & known & first).alias("conversations"),
         F.count_if((F.col("kind") == "bought") & known).alias("subs"),
     )
-    subs = F.col("subs").cast("decimal(10,2)")
+    subs = F.col("subs").cast("decimal(28,2)")
     return (
         counts.filter((F.col("sent") > 0) & (F.col("subs") > 0))
         .select(

@@ -12,7 +12,7 @@ from cohortdeck.functions.numbers import money, safe_rate
 from cohortdeck.functions.times import Moment, shift
 from cohortdeck.operators.aggregates import count_when
 from cohortdeck.operators.filters import between_moments
-from cohortdeck.operators.joins import without_keys
+from cohortdeck.operators.joins import with_keys, without_keys
 
 
 def package_flags(
@@ -40,10 +40,11 @@ def first_views(
     ``after`` may use the population's columns, e.g. a bound chosen by a flag; a
     null bound lets nothing through.
     """
+    if after is None:
+        firsts = views.groupBy(user).agg(F.min(ts).alias(ts))
+        return firsts if population is None else with_keys(firsts, population, [user])
     rows = views if population is None else views.join(population, [user])
-    if after is not None:
-        rows = rows.filter(F.col(ts) > after)
-    return rows.groupBy(user).agg(F.min(ts).alias(ts))
+    return rows.filter(F.col(ts) > after).groupBy(user).agg(F.min(ts).alias(ts))
 
 
 def without_prior_purchase(viewers: DataFrame, user: str, purchases: DataFrame, ts: str, before: Moment) -> DataFrame:

@@ -152,8 +152,8 @@ def low_performing(
         *keys,
         host,
         "executions",
-        F.col("median").cast("decimal(10,0)").cast("bigint").alias("median"),
-        F.col("deviation").cast("decimal(10,0)").cast("bigint").alias("deviation"),
+        F.col("median").cast("decimal(20,0)").cast("bigint").alias("median"),
+        F.col("deviation").cast("decimal(20,0)").cast("bigint").alias("deviation"),
         F.col("allowed_variance").cast("bigint").alias("allowed_variance"),
         "actual_variance",
         "miss_ratio",
@@ -195,7 +195,7 @@ def hot_items(
         now.alias("executions"),
         F.col("average").alias("average_executions"),
         per_second(now).alias("per_second"),
-        F.try_divide(per_second(F.col("earlier_total")), F.col("earlier_days")).cast("decimal(10,2)").alias(
+        F.try_divide(per_second(F.col("earlier_total")), F.col("earlier_days")).cast("decimal(28,2)").alias(
             "average_per_second"
         ),
         int_div(now, F.col("average")).alias("factor"),
@@ -360,7 +360,7 @@ def slow_servers(log: DataFrame, group: Mapping[str, Column], host: str, minutes
         "slow_pages",
         "average",
         "median",
-        F.col("deviation").cast("int").alias("deviation"),
+        F.col("deviation").cast("bigint").alias("deviation"),
     ).orderBy(*keys, F.col("slow_pages").desc(), host)
 
 

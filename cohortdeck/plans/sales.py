@@ -26,8 +26,8 @@ def _first_timers(sales: DataFrame, user: str, ts: str) -> DataFrame:
 def _with_rates(daily: DataFrame) -> DataFrame:
     bought = F.col("purchases").cast("decimal(18,2)")
     return daily.withColumn(
-        "rate_today", nullable_rate(bought, F.col("buyers")).cast("decimal(10,3)")
-    ).withColumn("rate_new", nullable_rate(bought, F.col("new_users")).cast("decimal(10,3)"))
+        "rate_today", nullable_rate(bought, F.col("buyers")).cast("decimal(28,3)")
+    ).withColumn("rate_new", nullable_rate(bought, F.col("new_users")).cast("decimal(28,3)"))
 
 
 def sales_calendar(

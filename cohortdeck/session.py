@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,15 +38,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written intermediates, under the shared checkpoint folder.
+def scratch_path(spark: SparkSession, name: str, shared: str | None = None) -> str:
+    """A fresh folder for written intermediates.
 
-    A machine-local folder is used only in local mode, where the setting may be
-    absent; on a cluster a missing setting is an error rather than lost data.
+    Under ``shared`` if given, else under the folder of ``spark.checkpoint.dir``, else
+    under the session's warehouse: places that all executors reach, on any master.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = shared or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="cohortdeck-")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

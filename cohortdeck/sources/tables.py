@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,23 @@ def read_week(spark: SparkSession, path: str, year: int, week: int) -> DataFrame
     return spark.read.parquet(path).filter((F.col("log_year") == year) & (F.col("log_week") == week))
 
 
+def _us_week_of(day: date) -> int:
+    """``functions.times.us_week`` of a known day."""
+    return (day.timetuple().tm_yday - 1 + (date(day.year, 1, 1).weekday() + 1) % 7) // 7 + 1
+
+
+def read_between(spark: SparkSession, path: str, ts: str, start: datetime, end: datetime) -> DataFrame:
+    """Rows of such a log with ``start <= ts < end``; only the weeks they fall in are listed and read."""
+    last = end - timedelta(microseconds=1)
+    folders = F.lit(False)
+    for year in range(start.year, last.year + 1):
+        first_day = max(start.date(), date(year, 1, 1))
+        last_day = min(last.date(), date(year, 12, 31))
+        weeks = F.col("log_week").between(_us_week_of(first_day), _us_week_of(last_day))
+        folders = folders | ((F.col("log_year") == year) & weeks)
+    return spark.read.parquet(path).filter(folders).filter((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Store an intermediate result in the shared scratch folder and read it from there.
 

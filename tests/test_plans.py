@@ -4,11 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 from cohortdeck.checks.entities import Tables
+from cohortdeck.checks.registry import QUERIES
 from cohortdeck.operators import filters, joins
 from cohortdeck.plans import monitoring
 
 SF_DIR = "/root/testdata/sf0.001"
-BATCH = sorted(n for n in entry.queries() if not n.endswith("_stream"))
+BATCH = sorted(n for n in QUERIES if not n.endswith("_stream"))
 
 
 def plan(df):

@@ -1,5 +1,7 @@
 """Readers, summary tables, weekly logs and the scratch folder."""
 
+from datetime import datetime
+
 import datetime as dt
 from decimal import Decimal
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cohortdeck import session
+from cohortdeck.functions.times import us_week
 from cohortdeck.sources import schemas, summaries, tables
 
 
@@ -53,22 +56,35 @@ def test_catalog_and_parquet_tables(spark, tmp_path):
 class FakeSession:
     """Just enough of a session to ask for settings."""
 
-    def __init__(self, master, folder=None):
+    def __init__(self, **settings):
         self.conf = self
-        self.folder = folder
-        self.sparkContext = self
-        self.master = master
-
-    def get(self, name, default):
-        assert name == "spark.checkpoint.dir"
-        return self.folder or default
-
-
-def test_scratch_folder_follows_the_session():
-    assert session.scratch_path(FakeSession("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
-    assert "cohortdeck-" in session.scratch_path(FakeSession("local[2]"), "x")
-    with pytest.raises(RuntimeError):
-        session.scratch_path(FakeSession("yarn"), "x")
+        self.settings = {"spark.sql.warehouse.dir": "file:/w/house", **settings}
+
+    def get(self, name, *default):
+        return self.settings.get(name, *default)
+
+
+def test_scratch_folder_follows_the_settings():
+    shared = FakeSession(**{"spark.checkpoint.dir": "hdfs:///shared/"})
+    assert session.scratch_path(shared, "x").startswith("hdfs:///shared/x-")
+    assert session.scratch_path(shared, "x", "s3://other").startswith("s3://other/x-")
+    assert session.scratch_path(FakeSession(), "x").startswith("file:/w/house/_scratch/x-")
+
+
+def test_weeks_of_a_range(spark, tmp_path):
+    """A range over new year reads the folders it needs and no others."""
+    days = spark.sql("SELECT explode(sequence(timestamp_ntz'2022-11-20', timestamp_ntz'2024-02-10', interval 6 hours)) AS ts")
+    tables.write_weekly(days, str(tmp_path / "log"), "ts")
+    start, end = datetime(2022, 12, 28, 3), datetime(2023, 1, 5)
+    found = tables.read_between(spark, str(tmp_path / "log"), "ts", start, end)
+    want = days.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
+    assert sorted(r.ts for r in found.collect()) == sorted(r.ts for r in want.collect())
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "log_week" in text.split("PartitionFilters")[1].split("PushedFilters")[0]
+    folders = {r.f for r in found.select(F.regexp_extract(F.input_file_name(), "log_year=.*log_week=[0-9]+", 0).alias("f")).distinct().collect()}
+    assert folders == {"log_year=2022/log_week=53", "log_year=2023/log_week=1"}
+    each = days.withColumn("w", us_week(F.col("ts"))).collect()
+    assert all(tables._us_week_of(r.ts.date()) == r.w for r in each)
 
 
 def test_staged_result_cuts_the_plan(spark, rows):
