@@ -97,3 +97,41 @@ def recent_listing(t: Tables) -> DataFrame:
         filters=[F.col("o_orderpriority").contains("H")],
         order=["o_orderkey"],
     )
+
+
+@check(
+    "payment_failures_by_package",
+    f"""WITH {USERS}, {TRX}, d AS (SELECT l_orderkey AS trx_id, l_partkey, l_suppkey FROM lineitem),
+      r AS (SELECT t.day, t.status, CASE WHEN p_size <= 12 THEN 1 WHEN p_size <= 25 THEN 3 WHEN p_size <= 37 THEN 6 ELSE 12 END AS months,
+        d.l_suppkey % 2 AS is_resub, t.priority AS card_type, CASE WHEN u.login_disabled IN (1, 2) THEN 1 ELSE 0 END AS login_disabled,
+        CASE WHEN t.trx_id % 3 = 0 THEN 'S' || (t.trx_id % 2) END AS source_label
+      FROM trx t JOIN users u USING (user_id) JOIN d USING (trx_id) JOIN part ON p_partkey = d.l_partkey
+      WHERE t.amount >= 1000 AND t.ts >= TIMESTAMP '1997-01-01' AND p_brand <> 'Brand#1')
+    SELECT strftime(day, '%Y-%m-%d') AS day, is_resub::BIGINT AS is_resub, months::BIGINT AS months, card_type, source_label, login_disabled::BIGINT AS login_disabled,
+      count(*) FILTER (status IN (1, 2)) AS total, count(*) FILTER (status = 2) AS failed FROM r GROUP BY ALL""",
+)
+def payment_failures_by_package(t: Tables) -> DataFrame:
+    """Failures over the whole billing chain: card, order, package and a source that may be missing."""
+    trx = t.trx.select(
+        "*", F.when(F.col("amount") >= 1000, 1).otherwise(2).alias("category"), F.lit(1).alias("trx_type"), F.col("priority").alias("method_id")
+    )
+    size = F.col("p_size")
+    found = billing.card_transactions(
+        trx,
+        t.users,
+        t.trx.select(F.col("priority").alias("method_id"), F.col("priority").alias("card_type")).distinct(),
+        t.lineitem.select(
+            F.col("l_orderkey").alias("trx_id"), F.col("l_suppkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("days")
+        ),
+        t.supplier.select(F.col("s_suppkey").alias("order_id"), (F.col("s_suppkey") % 2).alias("is_resub")),
+        t.part.select(
+            F.col("p_partkey").alias("product_id"),
+            F.when(size <= 12, 1).when(size <= 25, 3).when(size <= 37, 6).otherwise(12).alias("months"),
+            F.when(F.col("p_brand") == "Brand#1", 2).otherwise(1).alias("feature_id"),
+        ),
+        t.orders.filter("o_orderkey % 3 = 0").select(
+            F.col("o_orderkey").alias("trx_id"), F.lit("sub").alias("sub_type"), F.concat(F.lit("S"), F.col("o_orderkey") % 2).alias("source_label")
+        ),
+        "1997-01-01",
+    )
+    return billing.payment_failures(found, "ts", ["is_resub", "months", "card_type", "source_label"], "status", "login_disabled")

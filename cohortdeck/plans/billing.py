@@ -87,3 +87,39 @@ def recent_listing(
         found = found.filter(test)
     listed = found.select(*columns)
     return listed.orderBy(*order) if order else listed
+
+
+def card_transactions(
+    trx: DataFrame,
+    users: DataFrame,
+    methods: DataFrame,
+    details: DataFrame,
+    orders: DataFrame,
+    products: DataFrame,
+    staged: DataFrame | None = None,
+    start: Moment | None = None,
+    feature: int = 1,
+    category: int = 1,
+    trx_type: int = 1,
+) -> DataFrame:
+    """New-sale transactions with their card, package, order and source: the input of ``payment_failures``.
+
+    ``trx``: trx_id, user_id, ts, status, category, trx_type, amount, method_id.  ``users``:
+    user_id, login_disabled (those that may count).  ``methods``: method_id, card_type.
+    ``details``: trx_id, order_id, product_id, days.  ``orders``: order_id, is_resub.
+    ``products``: product_id, months, feature_id.  ``staged``: trx_id, sub_type,
+    source_label, which a transaction may lack.  Filters come before the joins, so they
+    reach the scans; a transaction has a row per detail whose product is of ``feature``.
+    """
+    wanted = between_moments(trx, "ts", start, None).filter((F.col("category") == category) & (F.col("trx_type") == trx_type))
+    rows = (
+        wanted.select("trx_id", "user_id", "ts", "status", F.floor("amount").alias("amount_key"), "method_id")
+        .join(users.select("user_id", "login_disabled"), ["user_id"])
+        .join(methods.select("method_id", "card_type"), ["method_id"])
+        .join(details.select("trx_id", "order_id", "product_id", "days"), ["trx_id"])
+        .join(orders.select("order_id", "is_resub"), ["order_id"])
+        .join(products.filter(F.col("feature_id") == feature).select("product_id", "months"), ["product_id"])
+    )
+    if staged is not None:
+        rows = rows.join(staged.select("trx_id", "sub_type", "source_label"), ["trx_id"], "left")
+    return rows.drop("method_id", "order_id", "product_id")
