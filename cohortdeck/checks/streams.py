@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from cohortdeck.checks.entities import Tables
 from cohortdeck.checks.registry import check
+from cohortdeck.operators.filters import between_moments
 from cohortdeck.session import scratch_path
 from cohortdeck.streaming import monitors
 
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 
 
+CUTS = ("2024-01-09", "2024-01-17 06:00:00", "2024-01-24 12:30:00")
+
+
 def _stream(t: Tables) -> DataFrame:
-    return monitors.file_stream(t.spark, t.sf_dir, t.events.schema, "events.parquet")
+    """The log as files that arrive one after the other, each a batch of its own, so state crosses batches."""
+    folder = scratch_path(t.spark, "arriving")
+    for start, end in zip((None, *CUTS), (*CUTS, None)):
+        between_moments(t.events, "ts", start, end).coalesce(1).write.mode("append").parquet(folder)
+    return monitors.file_stream(t.spark, folder, t.events.schema, files_per_batch=1)
 
 
 def _run(t: Tables, stream: DataFrame, name: str) -> DataFrame:
@@ -49,14 +57,21 @@ def new_message_stream(t: Tables) -> DataFrame:
     return _run(t, monitors.first_seen_messages(log, "ts", "message", "40 days"), "first-seen").select("message_start")
 
 
-@check(
-    "message_bursts",
-    """WITH m AS (SELECT event_type || '#' || props AS message_start, ts FROM events),
+BURSTS = """WITH m AS (SELECT event_type || '#' || props AS message_start, ts FROM events),
       g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY message_start ORDER BY ts) + INTERVAL 30 HOUR THEN 0 ELSE 1 END AS opens FROM m),
       n AS (SELECT *, sum(opens) OVER (PARTITION BY message_start ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)
     SELECT message_start, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS total
-    FROM n GROUP BY message_start, burst""",
-)
+    FROM n GROUP BY message_start, burst"""
+
+
+@check("message_bursts", BURSTS)
 def message_bursts(t: Tables) -> DataFrame:
     log = t.events.withColumn("message", F.concat("event_type", F.lit("#"), "props"))
     return monitors.message_bursts(log, "ts", "message", "30 hours")
+
+
+@check("message_bursts_stream", f"{BURSTS} HAVING max(ts) + INTERVAL 30 HOUR <= {CLOSED}")
+def message_bursts_stream(t: Tables) -> DataFrame:
+    """Bursts that are over, handed out by the stream."""
+    log = _stream(t).withColumn("message", F.concat("event_type", F.lit("#"), "props"))
+    return _run(t, monitors.message_bursts(log, "ts", "message", "30 hours"), "bursts")
