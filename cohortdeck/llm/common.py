@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+import cohortdeck
 from cohortdeck.session import scratch_path
 
 # The white space words and lines are cut at.
@@ -26,3 +31,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:8]}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per context, as they may not have it on their path.
+
+    Spark itself hands the archive from the driver to every executor.
+    """
+    context = spark.sparkContext
+    root = Path(cohortdeck.__file__).parent
+    if getattr(context, "_cohortdeck_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="cohortdeck-")) / "cohortdeck.zip"
+    with zipfile.ZipFile(archive, "w") as package:
+        for file in sorted(root.rglob("*.py")):
+            package.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._cohortdeck_shipped = True
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

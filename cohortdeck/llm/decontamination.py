@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortdeck.llm.common import map_batches
+
 WORDS = re.compile(r"\w+")
 HITS = "doc_id bigint, item_id bigint, distance int, start bigint, stop bigint, n_found int"
 
@@ -160,7 +162,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, least: int = 14
     """
     out = None
     for block in blocks(items, rate, least, letters):
-        found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(finder(docs, block), HITS)
+        found = map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), finder(docs, block), HITS)
         out = found if out is None else out.union(found)
     return out
 
@@ -186,7 +188,7 @@ def finder(docs: DataFrame, block: Benchmark):
 def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.06, least: int = 14, letters: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` in which ``leaks`` finds no item, with their columns."""
     for block in blocks(items, rate, least, letters):
-        docs = docs.mapInArrow(cleaner(docs, block), docs.schema)
+        docs = map_batches(docs, cleaner(docs, block), docs.schema)
     return docs
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortdeck.llm.common import staged
+from cohortdeck.llm.common import map_batches, staged
 from cohortdeck.llm.shingles import mixed
 
 WIDTH = 4
@@ -75,7 +75,7 @@ def gram_counts(known: DataFrame) -> DataFrame:
                     columns = [pa.array([lang] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(counts, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
-    return known.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_batches(known, run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def typical(counts: DataFrame, least: float, share: float) -> DataFrame:
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pred, score], ["doc_id", "held_out", "lang_pred", "score"])
 
     plain = docs.select(F.col("doc_id").cast("bigint"), held_out(docs).alias("held_out"), F.col("text").cast("string"))
-    return plain.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_batches(plain, run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def language_of_each(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortdeck.llm.common import map_batches
 from cohortdeck.llm.tokens import encoder, tokenizer_path
 
 
@@ -25,7 +26,7 @@ def encoded_lengths(docs: DataFrame, by: Sequence[str] = (), path: str | None =
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64())], [*by, "n_tokens"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
-    return kept.mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))
+    return map_batches(kept, run, ", ".join([*fields, "n_tokens bigint"]))
 
 
 def length_histogram(docs: DataFrame, by: Sequence[str] = (), path: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortdeck.llm.common import BLANKS, staged
+from cohortdeck.llm.common import BLANKS, map_batches, staged
 
 SEGMENT = 16  # a filter is merged in segments of 2**SEGMENT bits
 AT_ONCE = 1 << 20  # lines summed up in a worker before its sketch leaves
@@ -106,8 +106,8 @@ def repeat_filter(docs: DataFrame, min_chars: int, bits: int, hashes: int) -> np
         columns = list(zip(*rows)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["segment", "bits"])
 
-    sketches = with_id(docs).mapInArrow(sketch, "segment int, seen int, low binary")
-    merged = sketches.repartition("segment").mapInArrow(merge, "segment int, bits binary")
+    sketches = map_batches(with_id(docs), sketch, "segment int, seen int, low binary")
+    merged = map_batches(sketches.repartition("segment"), merge, "segment int, bits binary")
     twice = np.zeros(bits // 8, np.uint8)
     width = (1 << SEGMENT) // 8
     for row in merged.toLocalIterator():  # at most bits / 8 bytes, whatever the input
@@ -145,7 +145,7 @@ def suspects(docs: DataFrame, twice: np.ndarray, min_chars: int, bits: int, hash
             )
 
     source = with_id(docs, F.xxhash64("text").alias("__hash"))
-    return source.mapInArrow(run, "k1 bigint, k2 bigint, __id bigint, __hash bigint, lines array<int>")
+    return map_batches(source, run, "k1 bigint, k2 bigint, __id bigint, __hash bigint, lines array<int>")
 
 
 def dedup_lines(

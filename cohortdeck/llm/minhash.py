@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortdeck.llm.common import staged
+from cohortdeck.llm.common import map_batches, staged
 from cohortdeck.llm.shingles import mixed, shingle_set
 
 BINS = 256
@@ -77,7 +77,7 @@ def features(docs: DataFrame, rows: int) -> DataFrame:
                 ["id", "n", "s1", "s2", "bands"],
             )
 
-    return with_id(docs).mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return map_batches(with_id(docs), run, "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
 def shingle_arrays(docs: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def shingle_arrays(docs: DataFrame) -> DataFrame:
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "s"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, s array<bigint>")
+    return map_batches(docs.select("id", "text"), run, "id bigint, s array<bigint>")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortdeck.llm.common import map_batches
 from cohortdeck.llm.tokens import encoder, packed, tokenizer_path
 
 PIECES = (
@@ -123,7 +124,7 @@ def harmonic_pack(
         bins.finish()
         yield bins.take()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
