@@ -146,7 +146,9 @@ def estimates(vectors: DataFrame, share: float, steps: int) -> DataFrame:
     normal distribution; it is at least 1.
     """
     rows = keyed(vectors)
-    shapes = staged(concentrated(first_distances(rows, quartiles(rows)), share), "mcd-step")
+    # Stored first, so that its size is known when the join is planned.
+    centres = staged(quartiles(rows), "mcd-centres")
+    shapes = staged(concentrated(first_distances(rows, centres), share), "mcd-step")
     for _ in range(steps):
         shapes = staged(concentrated(distances(rows, shapes), share), "mcd-step")
     best = shapes.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("size", "start"))).filter("place = 1")
