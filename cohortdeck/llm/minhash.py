@@ -153,8 +153,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = 5) -> DataFr
     same_id = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     links = staged(confirmed(tried, sets, percent).union(same_id), "shingle-links")
     groups = components(links)
+    # A bucket is settled once all its members are in the group of its smallest one, which
+    # the pairs tried so far tell; only the others go on.
+    label = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    apart = tried.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = apart.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.col("a").alias("low"), F.col("b").alias("rep"))
+    unsettled = buckets.join(apart, ["low", "rep"], "left_semi").select("key").distinct()
+    buckets = staged(buckets.join(unsettled, "key", "left_semi"), "shingle-buckets")
     turn = 0
-    while True:
+    while not buckets.isEmpty():
         turn += 1
         named = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         named = named.select("key", "rep", F.coalesce("label", "rep").alias("label"))
