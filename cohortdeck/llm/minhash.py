@@ -16,6 +16,7 @@ from cohortdeck.llm.shingles import mixed, shingle_set
 BINS = 256
 PROBES = 64  # places looked up at once for a neighbour of an empty bin
 NO_ID = -(1 << 63)  # stands for a null id: the smallest
+SLOT_BITS = 21  # shingles are counted in so many slots, only to put rare ones first
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -101,6 +102,73 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot (the top bits) occur in ``sets``: one array of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            np.add.at(counts, (flat >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["slot", "n"])
+
+    found = map_batches(sets.select("s"), run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int32)
+    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), (1 << 31) - 1)
+    return counts
+
+
+def rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """token, id, label, reach, n, indexed: the shingles by which a set (id, label, s) meets those it may link to.
+
+    Shingles are put in one order for all sets, those of rare slots first, and ``reach``
+    is how many of the set's n come from this one on.  Two sets whose first common
+    shingle is this one have at most the smaller ``reach`` in common, so no link is lost
+    by leaving out what comes after the first ``n - percent * n + 1``, whatever the
+    order.  ``indexed`` are those that a set of no fewer shingles can be met by.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(slot_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, label, found in zip(batch.column(0), batch.column(1), batch.column(2)):
+                tokens = found.values.to_numpy(zero_copy_only=False)
+                slots = (tokens.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+                n = len(tokens)
+                first = np.lexsort((tokens, sent.value[slots]))[: n + percent * n // -100 + 1]
+                k = len(first)
+                indexed = np.arange(k) < n + 2 * percent * n // -(100 + percent) + 1
+                reach = n - np.arange(k)
+                columns = [tokens[first], np.full(k, id_.as_py()), np.full(k, label.as_py()), reach, np.full(k, n)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int64()) for c in columns), pa.array(indexed)], ["token", "id", "label", "reach", "n", "indexed"]
+                )
+
+    schema = "token bigint, id bigint, label bigint, reach bigint, n bigint, indexed boolean"
+    return map_batches(sets.select("id", "label", "s"), run, schema)
+
+
+def possible_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Every (a, b) of different labels in ``sets`` (id, label, s) that no bound rules out.
+
+    Sets of one label are never paired: lists of a shingle are compared by label first,
+    with the best bound of each label, and only labels that may link by their sets.
+    """
+    entries = staged(rare_first(sets, percent), "rare-shingles")
+    several = entries.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("indexed").alias("met"))
+    lists = staged(entries.join(several.filter("met and least < most").select("token"), "token"), "rare-lists")
+    enough = lambda x, y: (100 + percent) * F.least(f"reach_{x}", f"reach_{y}") >= percent * (F.col(f"n_{x}") + F.col(f"n_{y}"))
+    named = lambda rows, x: rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "token"])
+    short = lists.filter("indexed").drop("indexed")
+    best = lambda rows: rows.groupBy("token", "label").agg(F.max("reach").alias("reach"), F.min("n").alias("n"))
+    labels = named(best(short), "x").join(named(best(lists), "y"), "token").filter((F.col("label_x") != F.col("label_y")) & enough("x", "y"))
+    labels = labels.select("token", "label_x", "label_y")
+    pairs = labels.join(named(short, "x"), ["token", "label_x"]).join(named(lists.drop("indexed"), "y"), ["token", "label_y"])
+    pairs = pairs.filter((F.col("n_x") <= F.col("n_y")) & enough("x", "y"))
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and the smallest node reachable over ``links`` (a, b), by passing minima on and jumping.
 
@@ -131,7 +199,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = 5) -> DataFr
     one, so candidates number as many as members; pairs proposed by several buckets count
     once, and each is confirmed on the whole sets.  Buckets whose members are then still
     in different groups propose further stars around other members, until a round finds
-    no link, so links that a star's centre doesn't see are found.
+    no link.  What is in buckets that still span groups is then settled exactly: all pairs
+    of different groups there are compared but those that a bound on their common shingles
+    rules out.
 
     One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id
     reachable), kept (doc_id = component_id).  Null, empty and blank texts have no
@@ -167,16 +237,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = 5) -> DataFr
         named = named.select("key", "rep", F.coalesce("label", "rep").alias("label"))
         centre = named.groupBy("key").agg(
             F.min("label").alias("least"), F.max("label").alias("most"),
-            F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("order"), "rep", "label")).alias("centre"),
+            F.min(F.struct(F.xxhash64("key", "rep", F.lit(turn)).alias("order"), "rep", "label")).alias("centre"),
         )
         open_stars = named.join(centre.filter("least < most"), "key").filter(F.col("label") != F.col("centre.label"))
         stars = open_stars.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
         fresh = staged(stars.join(tried, ["a", "b"], "left_anti"), "shingle-stars")
         more = staged(confirmed(fresh, sets, percent), "shingle-links")
-        if more.isEmpty():
-            break
-        tried, links = tried.union(fresh), links.union(more)
-        groups = components(links)
+        tried = tried.union(fresh)
+        if not more.isEmpty():
+            links = links.union(more)
+            groups = components(links)
+            continue
+        left = named.join(centre.filter("least < most").select("key"), "key").select(F.col("rep").alias("id"), "label").distinct()
+        rest = staged(sets.join(left, "id"), "unsettled-sets")
+        fresh = staged(possible_pairs(rest, percent).join(tried, ["a", "b"], "left_anti"), "unsettled-pairs")
+        more = staged(confirmed(fresh, sets, percent), "shingle-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            groups = components(links)
+        break
 
     found = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "id")

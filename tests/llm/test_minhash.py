@@ -63,6 +63,15 @@ def test_chain_of_neighbours(spark):
     assert sorted((tuple(r) for r in near_duplicates(frame(spark, rows)).collect()), key=str) == by_hand(rows)
 
 
+def test_links_inside_a_shared_template(spark):
+    """Texts of one template meet in its buckets and are unlike each other; only the two with few own words are linked."""
+    template = sentence(70, 229)
+    rows = [(k, f"{template} " + " ".join(f"own{k}x{i}" for i in range(75 if k < 400 else 30)), "en", "a", 1) for k in range(402)]
+    found = sorted((tuple(r) for r in near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert [r[0] for r in found if not r[3]] == [401]
+    assert found == by_hand(rows)
+
+
 def test_signature_agrees_as_often_as_sets(spark):
     a = np.arange(1, 401, dtype=np.uint64)
     x, y = (shingle_set(" ".join(map(str, part)).encode(), 1) for part in (a[:320], a[80:]))
