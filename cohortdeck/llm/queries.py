@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, with SQL where SQL can express them."""
+"""The registered queries of the operators and of the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,8 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortdeck.llm import decontamination, html, langid, lengths, lines, minhash, outliers, packing, quality, secrets
+from cohortdeck.llm import (
+    bpe,
+    damage,
+    decontamination,
+    divergence,
+    html,
+    langid,
+    lengths,
+    lines,
+    minhash,
+    outliers,
+    packing,
+    quality,
+    secrets,
+)
 from cohortdeck.llm.common import staged, table
+from cohortdeck.llm.tokens import split_pattern, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +151,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.harmonic_pack(table(spark, sf_dir, "documents")))
 
 
+@query("op11_source_divergence", divergence.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is from the others of its language, and the terms it overuses."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair", damage.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least cost, audit and a hash of the repaired rows of every damaged conversation."""
+    return damage.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    found = bpe.decode(bpe.encode(docs, path, split_pattern()), path)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw documents to packed sequences."""

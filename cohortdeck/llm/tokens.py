@@ -64,3 +64,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    """The pattern that the public byte-level vocabularies cut texts with."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN

@@ -28,5 +28,5 @@ def test_query_matches_sql(spark, name):
 
 def test_all_are_registered():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == set(range(1, 14)) and "pipeline" in QUERIES
     assert set(QUERIES) <= set(entry.queries())
