@@ -169,7 +169,9 @@ def marked(rows: DataFrame) -> DataFrame:
         "conv_id", "pos", "turn", "copies", initial.alias("initial"), (core == "").alias("blank"), open_end.alias("open_end"),
         F.when(core != "", same).alias("same"),
     )
-    repeats = light.filter("same IS NOT NULL").groupBy("same").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
+    # Blank rows have nothing to meet; each keeps a key of its own, as nulls would all meet in one task.
+    light = light.withColumn("same", F.coalesce("same", F.encode(F.col("pos").cast("string"), "UTF-8")))
+    repeats = light.groupBy("same").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
     fault = (
         F.when(F.col("blank"), BLANK).when(F.col("pos") > F.col("first"), DUPLICATE).when(F.col("open_end"), TRUNCATED).otherwise(CLEAN)
     )
