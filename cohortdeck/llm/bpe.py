@@ -1,4 +1,4 @@
-"""Byte-level BPE by replaying the merges over all words of a stretch of the corpus at once.
+"""Byte-level BPE by replaying the merges over all words of a part of the corpus at once.
 
 A task reads its documents, cuts each into matches of the split pattern and numbers the
 different words.  Words that are new are laid end to end as bytes, and an inverted index
@@ -9,8 +9,8 @@ written as the ids of their words.
 
 Ranks come from a vocabulary file, whose size bounds what a task holds of it.  No row is
 moved: a lost executor's documents are read again.  What a task holds beside the batch is
-bounded by the words of a stretch (``most_words`` occurrences) and of its word list
-(``most_letters`` letters, then begun anew); one word may be longer, of any length.
+bounded by the words of a part of the corpus (``most_words`` occurrences) and of its
+word list (``most_letters`` letters, then begun anew); one word may be longer, of any length.
 
 A null text has no ids, and no ids decode to no bytes; repeated rows are encoded each.  The
 result has the columns of the input without the text, and ``ids``; a column of that name
@@ -25,10 +25,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
@@ -55,6 +56,9 @@ class Vocabulary:
                     self.pairs[a << 32 | b] = rank
         self.keys = np.array(sorted(self.pairs), np.int64)
         self.made = np.array([self.pairs[key] for key in self.keys.tolist()], np.int32)
+        # Tokens that are part of a token of lower rank: their merges may have to wait for one another.
+        parts = np.concatenate([self.keys >> 32, self.keys & 0xFFFFFFFF])
+        self.inside_lower = set(parts[np.concatenate([self.made, self.made]) < parts].tolist())
 
     def pair(self, a: int, b: int) -> int:
         return self.pairs.get(a << 32 | b, -1)
@@ -157,23 +161,12 @@ class Replay:
             k = np.arange(len(places))
             first = np.maximum.accumulate(np.where(chained, 0, k))
             places = places[(k - first) % 2 == 0]
-        second = following[places]
-        after, previous = following[second], before[places]
-        right, left = np.flatnonzero(after >= 0), np.flatnonzero(previous >= 0)
-        # As seen while merging from the left: what follows is unmerged yet, what comes before may be merged.
-        met = symbol[previous[left]]
-        at = np.searchsorted(second, previous[left])
-        met[second[np.minimum(at, len(second) - 1)] == previous[left]] = rank
-        new_right = self.vocab.pair_all(np.full(len(right), rank), symbol[after[right]])
-        new_left = self.vocab.pair_all(met, np.full(len(left), rank))
-        low = np.concatenate([right[(new_right >= 0) & (new_right < rank)], left[(new_left >= 0) & (new_left < rank)]])
         rest = places[:0]
-        if len(low):
-            words = np.searchsorted(self.ends, places[low], side="right")
-            rest = every[np.isin(np.searchsorted(self.ends, every, side="right"), words)]
+        if rank in self.vocab.inside_lower:
+            rest = self.with_lower(rank, places, every)
             places = np.setdiff1d(places, rest)
-            second = following[places]
-            after = following[second]
+        second = following[places]
+        after = following[second]
         symbol[places], pair[second], following[places] = rank, -1, after
         np.frombuffer(self.gone, np.uint8)[second] = 1
         right = after >= 0
@@ -187,6 +180,22 @@ class Replay:
         self.enter(new, touched)
         return rest
 
+    def with_lower(self, rank: int, places: np.ndarray, every: np.ndarray) -> np.ndarray:
+        """Those of ``every`` place whose word gets a pair of lower rank by merges at ``places``."""
+        symbol, _, following, before = self.views
+        second = following[places]
+        after, previous = following[second], before[places]
+        right, left = np.flatnonzero(after >= 0), np.flatnonzero(previous >= 0)
+        # As seen while merging from the left: what follows is unmerged yet, what comes before may be merged.
+        met = symbol[previous[left]]
+        at = np.searchsorted(second, previous[left])
+        met[second[np.minimum(at, len(second) - 1)] == previous[left]] = rank
+        new_right = self.vocab.pair_all(np.full(len(right), rank), symbol[after[right]])
+        new_left = self.vocab.pair_all(met, np.full(len(left), rank))
+        low = np.concatenate([right[(new_right >= 0) & (new_right < rank)], left[(new_left >= 0) & (new_left < rank)]])
+        words = np.searchsorted(self.ends, places[low], side="right")
+        return every[np.isin(np.searchsorted(self.ends, every, side="right"), words)] if len(low) else every[:0]
+
     def merge_each(self, rank: int, places: list[int]) -> None:
         symbol, pair, following, before = self.arrays
         gone, rank_of, add = self.gone, self.vocab.pairs.get, self.add
@@ -229,97 +238,103 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return Replay(words, vocab).run()
 
 
-class Words(dict):
-    """Numbers words as they come."""
+class Numbered(dict):
+    """Numbers texts as they come, and counts their letters."""
+
+    letters = 0
 
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
+    def __missing__(self, text) -> int:
+        number = self[text] = len(self)
+        self.letters += len(text)
         return number
 
 
 class Lexicon:
     """The words met so far and their ids."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, pattern: str):
         self.vocab = vocab
-        self.words = Words()
-        self.letters = 0
-        self.ids = np.zeros(0, np.int32)
-        self.ends = np.zeros(1, np.int64)
+        self.cut = regex.compile(pattern).findall
+        self.words = Numbered()
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's words."""
+        words = self.cut(text or "")
+        return np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
 
     def encode_new(self) -> None:
         """Ids of the words numbered since the last call: a word that is a token is that token, others are replayed."""
-        done = len(self.ends) - 1
-        new = [word.encode() for word in list(self.words)[done:]]
-        if not new:
-            return
-        whole = [self.vocab.ranks.get(word, -1) for word in new]
-        ids, counts = replay([word if rank < 0 else b"" for word, rank in zip(new, whole, strict=True)], self.vocab)
-        ready = np.flatnonzero(np.array(whole) >= 0)
+        words = [word.encode() for word in islice(self.words, len(self.ends) - 1, None)]
+        whole = np.fromiter((self.vocab.ranks.get(word, -1) for word in words), np.int32, len(words))
+        ids, counts = replay([word if rank < 0 else b"" for word, rank in zip(words, whole.tolist(), strict=True)], self.vocab)
+        ready = np.flatnonzero(whole >= 0)
         starts = np.concatenate([[0], np.cumsum(counts)])
-        ids = np.insert(ids, starts[ready], np.array(whole, np.int32)[ready])
+        self.ids = np.concatenate([self.ids, np.insert(ids, starts[ready], whole[ready])])
         counts[ready] = 1
-        self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
 
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words end to end, and the end of each."""
-        starts, sizes = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+        return gathered(self.ids, self.ends, numbers)
+
+
+def gathered(values: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` with these numbers end to end, and the end of each; run k lies before ``ends[k + 1]``."""
+    starts = ends[numbers]
+    sizes = ends[numbers + 1] - starts
+    to = np.cumsum(sizes)
+    total = int(to[-1]) if len(to) else 0
+    kind = np.int32 if max(total, len(values)) < 2**31 else np.int64
+    return values[np.repeat((starts - (to - sizes)).astype(kind), sizes) + np.arange(total, dtype=kind)], to
 
 
 def _encoded(path: str, pattern: str, at: int, names: list[str], most_words: int, most_letters: int):
     """Batches without their text column and with ids at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = regex.compile(pattern).findall
-        lexicon = Lexicon(vocabulary(path))
-        held: list[pa.RecordBatch] = []
+        lexicon = Lexicon(vocabulary(path), pattern)
+        held: list[list[pa.Array]] = []
         numbers: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal lexicon
             lexicon.encode_new()
             document = 0
-            for batch in held:
-                own = numbers[document : document + batch.num_rows]
-                document += batch.num_rows
+            for columns, rows in held:
+                own = numbers[document : document + rows]
+                document += rows
                 ids, ends = lexicon.ids_of(np.concatenate(own))
-                words = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-                offsets = np.concatenate([[0], ends])[words]
-                columns = [c for k, c in enumerate(batch.columns) if k != at]
+                offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in own])])]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*columns, lists], names)
             held.clear()
             numbers.clear()
-            if lexicon.letters > most_letters:
-                lexicon = Lexicon(lexicon.vocab)
+            if lexicon.words.letters > most_letters:
+                lexicon = Lexicon(lexicon.vocab, pattern)
+
+        def hold(batch: pa.RecordBatch, start: int, end: int) -> None:
+            if end > start:
+                held.append(([c.slice(start, end - start) for k, c in enumerate(batch.columns) if k != at], end - start))
 
         room = most_words
         for batch in batches:
             start = 0
             for k, value in enumerate(batch.column(at)):
-                before = len(lexicon.words)
-                found = cut(value.as_py() or "")
-                numbers.append(np.fromiter(map(lexicon.words.__getitem__, found), np.int64, len(found)))
-                new = len(lexicon.words) - before
-                if new:
-                    lexicon.letters += sum(map(len, found)) if new > len(found) // 2 else 16 * new
-                room -= 1 + len(found)
-                if room < 0 or lexicon.letters > most_letters:
-                    held.append(batch.slice(start, k + 1 - start))
+                numbers.append(lexicon.numbers(value.as_py()))
+                room -= 1 + len(numbers[-1])
+                if room < 0 or lexicon.words.letters > most_letters:
+                    hold(batch, start, k + 1)
                     start, room = k + 1, most_words
                     yield from out()
-            if start < batch.num_rows:
-                held.append(batch.slice(start))
+            hold(batch, start, batch.num_rows)
         if held:
             yield from out()
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", most_words: int = 4_000_000, most_letters: int = 8_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", most_words: int = 3_000_000, most_letters: int = 4_000_000) -> DataFrame:
     """``docs`` with the token ids of each text in place of the text."""
     rest = [f for f in docs.schema if f.name not in (text, "ids")]
     docs = docs.select(*[f"`{f.name}`" for f in rest], f"`{text}`")
@@ -331,7 +346,9 @@ def _decoded(path: str, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocabulary(path).tokens.__getitem__
         for batch in batches:
-            found = [b"".join(map(token, (ids.as_py() or ()))) for ids in batch.column(at)]
+            ids = batch.column(at).flatten().to_numpy()
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy()).tolist()
+            found = [b"".join(map(token, ids[start:end].tolist())) for start, end in zip([0, *ends], ends, strict=False)]
             for part in _batches_of(found):
                 columns = [*(c.slice(part.start, len(part)) for c in batch.columns), pa.array(found[part.start : part.stop], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)

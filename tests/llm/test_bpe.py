@@ -47,6 +47,13 @@ def test_very_long_words(spark, letter):
     assert bytes(decoded) == text.encode() and n > 0
 
 
+def test_blanks_of_all_kinds(spark, plain):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice([" ", " ", "a", "b.", "'s", "'", "1", "\n", "\t", "\x1c", "\x85", "\xa0", "x" * 150]) for _ in range(80)) for _ in range(400)]
+    rows = collected(coded(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]), "doc_id", "ids", "decoded")
+    assert sorted((k, ids, bytes(d)) for k, ids, d in rows) == [(k, plain.encode_ordinary(t), t.encode()) for k, t in enumerate(texts)]
+
+
 def test_any_order_of_ranks():
     """Vocabularies whose merges can make pairs of lower rank than their own."""
     rnd = random.Random(5)
