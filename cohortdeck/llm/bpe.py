@@ -38,7 +38,7 @@ from cohortdeck.llm.common import map_batches
 
 
 class Vocabulary:
-    """Tokens by rank, and the rank of the token that two neighbours make (-1: none)."""
+    """Tokens by rank, and which two tokens make which."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -48,23 +48,21 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pairs: dict[int, int] = {}
+        keys, made = array("q"), array("i")
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
-                    self.pairs[a << 32 | b] = rank
-        self.keys = np.array(sorted(self.pairs), np.int64)
-        self.made = np.array([self.pairs[key] for key in self.keys.tolist()], np.int32)
+                    keys.append(a << 32 | b)
+                    made.append(rank)
+        order = np.argsort(np.frombuffer(keys, np.int64)) if keys else np.zeros(0, np.int64)
+        self.keys, self.made = (np.array(x, kind)[order] for x, kind in ((keys, np.int64), (made, np.int32)))
         # Tokens that are part of a token of lower rank: their merges may have to wait for one another.
         parts = np.concatenate([self.keys >> 32, self.keys & 0xFFFFFFFF])
         self.inside_lower = set(parts[np.concatenate([self.made, self.made]) < parts].tolist())
 
-    def pair(self, a: int, b: int) -> int:
-        return self.pairs.get(a << 32 | b, -1)
-
     def pair_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The same for many."""
+        """The rank of the token that each two neighbours make, -1 where there is none."""
         if not len(self.keys):
             return np.full(len(a), -1, np.int32)
         keys = a.astype(np.int64) << 32 | b
@@ -78,6 +76,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+MOST_WORDS, MOST_LETTERS = 1_500_000, 3_000_000
+
+
 def distinct(places: np.ndarray) -> np.ndarray:
     """Different places in order."""
     places = np.sort(places)
@@ -198,7 +199,9 @@ class Replay:
 
     def merge_each(self, rank: int, places: list[int]) -> None:
         symbol, pair, following, before = self.arrays
-        gone, rank_of, add = self.gone, self.vocab.pairs.get, self.add
+        gone, add = self.gone, self.add
+        rank_of, token = self.vocab.ranks.get, self.vocab.tokens
+        own = token[rank]
         waiting: list[int] = []
         wait_until = -1
         for p in places:
@@ -213,14 +216,14 @@ class Replay:
             low = False
             if after >= 0:
                 before[after] = p
-                new = pair[p] = rank_of(rank << 32 | symbol[after], -1)
+                new = pair[p] = rank_of(own + token[symbol[after]], -1)
                 if new >= 0:
                     low = new < rank
                     add(new, p)
             else:
                 pair[p] = -1
             if previous >= 0:
-                new = pair[previous] = rank_of(symbol[previous] << 32 | rank, -1)
+                new = pair[previous] = rank_of(token[symbol[previous]] + own, -1)
                 if new >= 0:
                     low = low or new < rank
                     add(new, previous)
@@ -334,7 +337,7 @@ def _encoded(path: str, pattern: str, at: int, names: list[str], most_words: int
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", most_words: int = 3_000_000, most_letters: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", most_words: int = MOST_WORDS, most_letters: int = MOST_LETTERS) -> DataFrame:
     """``docs`` with the token ids of each text in place of the text."""
     rest = [f for f in docs.schema if f.name not in (text, "ids")]
     docs = docs.select(*[f"`{f.name}`" for f in rest], f"`{text}`")
@@ -373,3 +376,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     schema = StructType([*rest, StructField("decoded", BinaryType())])
     at = [f.name for f in rest].index(ids)
     return map_batches(encoded.select(*[f"`{f.name}`" for f in rest]), _decoded(path, at, schema.names), schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one pass of the same workers."""
+    rest = [f for f in docs.schema if f.name not in (text, "ids", "decoded")]
+    coded = [*rest, StructField("ids", ArrayType(IntegerType(), False))]
+    schema = StructType([*coded, StructField("decoded", BinaryType())])
+    encoded = _encoded(path, pattern, len(rest), [f.name for f in coded], MOST_WORDS, MOST_LETTERS)
+    decoded = _decoded(path, len(rest), schema.names)
+    docs = docs.select(*[f"`{f.name}`" for f in rest], f"`{text}`")
+    return map_batches(docs, lambda batches: decoded(encoded(batches)), schema)

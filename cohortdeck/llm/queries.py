@@ -168,7 +168,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    found = bpe.decode(bpe.encode(docs, path, split_pattern()), path)
+    found = bpe.round_trip(docs, path, split_pattern())
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return found.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

@@ -71,6 +71,8 @@ def test_any_order_of_ranks():
 def test_empty_table_and_replaced_columns(spark):
     assert bpe.decode(bpe.encode(empty(spark), PATH, split_pattern()), PATH).collect() == []
     df = spark.createDataFrame([(1, "one two", "x", "y", 1)], COLUMNS).selectExpr("doc_id", "text", "1 AS ids", "2 AS decoded")
+    (row,) = bpe.round_trip(df, PATH, split_pattern()).collect()
+    assert bytes(row["decoded"]) == b"one two" and sorted(row.asDict()) == ["decoded", "doc_id", "ids"]
     (row,) = bpe.decode(bpe.encode(df, PATH, split_pattern()), PATH).collect()
     assert bytes(row["decoded"]) == b"one two" and sorted(row.asDict()) == ["decoded", "doc_id", "ids"]
 
