@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Sequence
 from functools import lru_cache
@@ -13,12 +14,17 @@ from tokenizers import Tokenizer
 SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+LONG_BLANKS = 60_000
+MANY_BLANKS = re.compile(rf"\s{{{LONG_BLANKS}}}")
+
+
 class Encoder:
     """Byte-level BPE ids.
 
     The vocabulary and the special tokens come from the tokenizer's file.  The merging
     runs in tiktoken on that vocabulary: the ids are the same and it takes a third of the
-    time.  Texts that spell a special token go through the tokenizer itself.
+    time.  Texts that spell a special token go through the tokenizer itself, and so do
+    texts with a stretch of blanks that the merger's split can't take back.
     """
 
     def __init__(self, path: str):
@@ -33,7 +39,7 @@ class Encoder:
         """Ids of one text; a null has none."""
         if not text:
             return []
-        if any(mark in text for mark in self.special):
+        if any(mark in text for mark in self.special) or (len(text) >= LONG_BLANKS and MANY_BLANKS.search(text)):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.merger.encode_ordinary(text)
 

@@ -2,13 +2,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import public_tokenizers
 from frames import collected, empty, frame, odd_documents
 from tokenizers import Tokenizer
 
 from cohortdeck.llm.lengths import length_histogram, length_quantiles, limit_totals, suffix_sums
 from cohortdeck.llm.packing import Bins, digest, harmonic_pack, powers, slots
-from cohortdeck.llm.tokens import Encoder, packed, tokenizer_path
+from cohortdeck.llm.tokens import Encoder, encoder, packed, tokenizer_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -105,3 +106,16 @@ def test_length_histogram_and_limits(spark):
 def test_empty_table(spark):
     assert harmonic_pack(empty(spark)).collect() == []
     assert suffix_sums(length_histogram(empty(spark), ["lang"]), ["lang"]).collect() == []
+
+
+@pytest.mark.parametrize("letters", [" ", "\n", "a", " \t\n"])
+def test_very_long_stretches(spark, letters):
+    """Millions of blanks, line ends or equal letters in a row, through packing and lengths."""
+    text = "begin" + letters * (2_000_000 // len(letters)) + "end"
+    expected = encoder(tokenizer_path()).tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder(tokenizer_path()).ids(text) == expected
+    df = spark.createDataFrame([(1, text, "en")], "doc_id bigint, text string, lang string")
+    pieces = digest(harmonic_pack(df)).collect()
+    assert sum(p["length"] for p in pieces) == len(expected) + 1
+    (row,) = length_histogram(df, ["lang"]).collect()
+    assert row["n_tokens"] in (len(expected), len(expected) + 1)
