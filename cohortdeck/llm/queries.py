@@ -94,7 +94,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_length_histogram")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals per language for every context limit at which anything changes."""
-    return lengths.suffix_sums(lengths.length_histogram(table(spark, sf_dir, "documents"), ["lang"]), ["lang"])
+    histogram = staged(lengths.length_histogram(table(spark, sf_dir, "documents"), ["lang"]), "length-histogram")
+    return lengths.suffix_sums(histogram, ["lang"])
 
 
 @query("op6_html_text")
