@@ -152,7 +152,7 @@ def estimates(vectors: DataFrame, share: float, steps: int) -> DataFrame:
     for _ in range(steps):
         shapes = staged(concentrated(distances(rows, shapes), share), "mcd-step")
     best = shapes.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("size", "start"))).filter("place = 1")
-    best = best.drop("place", "size", "start")
+    best = staged(best.drop("place", "size", "start"), "mcd-best")
     cells = distances(rows, best).groupBy("key", distance_class().alias("cell")).agg(F.max("n").alias("n"), F.count("*").alias("h"))
     upto = F.sum("h").over(Window.partitionBy("key").orderBy("cell"))
     middle = cells.withColumn("upto", upto).filter(F.col("upto") * 2 >= F.col("n")).groupBy("key").agg(F.min("cell").alias("cell"))
@@ -186,7 +186,7 @@ def quality_rules(
     options = [F.concat(F.lit("2"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("1"), F.to_json(F.struct("lang"))), F.lit("0")]
     named = levels.select("lang", "source", F.explode(F.array(*options)).alias("key")).join(shapes.select("key", "n"), "key")
     fit = named.filter((F.col("n") >= enough) | (F.col("key") == "0")).groupBy("lang", "source").agg(F.max("key").alias("key"))
-    use = fit.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "key")
+    use = staged(fit.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "key"), "mcd-use")
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     judged = distances(vectors.join(use, same), shapes.drop("n"))
     base_failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
