@@ -12,12 +12,12 @@ from cohortdeck import fixed_values as fixed
 from cohortdeck.checks.entities import LOG, USERS, Tables
 from cohortdeck.checks.registry import check, sql_rate
 from cohortdeck.functions import extract, labels, numbers, texts, times
-from cohortdeck.operators import aggregates, calendars, filters, joins, sets, timeline
+from cohortdeck.operators import aggregates, asof, calendars, filters, joins, sets, timeline
 from cohortdeck.operators.baselines import group_spread
 from cohortdeck.plans import messaging, monitoring
 from cohortdeck.plans.funnels import first_views
 from cohortdeck.session import scratch_path
-from cohortdeck.sources import summaries, tables
+from cohortdeck.sources import published, summaries, tables
 
 # --- sources -------------------------------------------------------------------
 
@@ -95,6 +95,21 @@ def summary_sink_roundtrip(t: Tables) -> DataFrame:
     return summaries.read_summary(t.spark, path, schema, names)
 
 
+@check(
+    "published_summary",
+    """SELECT c_mktsegment AS segment, count(*) AS users, count(*) FILTER (c_acctbal >= 0) AS before FROM customer GROUP BY c_mktsegment""",
+)
+def published_summary(t: Tables) -> DataFrame:
+    """The newest version of a summary beside the one before it, which stays readable."""
+    schema = StructType([StructField("segment", StringType()), StructField("users", LongType())])
+    table = published.Published(t.spark, scratch_path(t.spark, "published"), schema)
+    everyone = t.customer.select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    for rows in (everyone.filter(F.col("c_acctbal") >= 0), everyone):
+        table.publish(rows.groupBy("segment").agg(F.count(F.lit(1)).alias("users")))
+    old = table.read(1, {"users": "before"})
+    return table.read().join(old, "segment", "left").fillna(0, ["before"])
+
+
 @check(
     "staged_result",
     """WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT 'busy' AS side, count(*) AS users FROM s WHERE n >= 65
@@ -420,6 +435,37 @@ def validity_join(t: Tables) -> DataFrame:
     return held.select("event_id", state.alias("state"), "held")
 
 
+@check(
+    "asof_attributes",
+    """WITH h AS (SELECT user_id, ts, max(struct_pack(k := CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER), u := ts + INTERVAL 4 DAY)) AS held
+      FROM events WHERE event_type IN ('click', 'signup') GROUP BY user_id, ts),
+      j AS (SELECT p.event_id, p.ts, CASE WHEN h.held.u > p.ts THEN h.held.k END AS k FROM events p ASOF LEFT JOIN h ON h.user_id = p.user_id AND h.ts <= p.ts)
+    SELECT event_id, k IS NOT NULL AS found, k AS held_k FROM j""",
+)
+def asof_attributes(t: Tables) -> DataFrame:
+    """What the user's latest click or signup said, unless it is four days old, for every event."""
+    held = t.log_of("click", "signup").select(
+        "user_id", F.col("ts").alias("since"), F.col("k").alias("held_k"), times.shift(F.col("ts"), 4, "DAY").alias("until")
+    )
+    points = t.events.select("event_id", "user_id", "ts")
+    found = asof.asof_attributes(points, "ts", held, "since", ["user_id"], ["held_k"], "until")
+    return found.select("event_id", "found", "held_k")
+
+
+@check(
+    "interval_pairs",
+    """SELECT p.event_id, v.event_id AS offer_id FROM events p JOIN events v ON v.user_id = p.user_id AND p.ts >= v.ts
+      AND p.ts <= CASE WHEN v.value < 30 THEN v.ts + INTERVAL 36 HOUR ELSE v.ts + INTERVAL 5 DAY END
+    WHERE p.event_type IN ('purchase', 'click') AND v.event_type = 'view'""",
+)
+def interval_pairs(t: Tables) -> DataFrame:
+    """Every purchase or click and every offer it falls into; offers run for a time that depends on their price."""
+    offers = t.events.filter(F.col("event_type") == "view").select("user_id", F.col("event_id").alias("offer_id"), F.col("ts").alias("begin_ts"), "value")
+    end = F.when(F.col("value") < 30, times.shift(F.col("begin_ts"), 36, "HOUR")).otherwise(times.shift(F.col("begin_ts"), 5, "DAY"))
+    points = t.events.filter(F.col("event_type").isin("purchase", "click")).select("event_id", "user_id", "ts")
+    return asof.interval_pairs(points, "ts", offers, F.col("begin_ts"), end, ["user_id"]).select("event_id", "offer_id")
+
+
 @check(
     "within_minutes",
     """SELECT p.event_id, count(c.ts) AS clicks FROM events p LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'click') c
