@@ -211,20 +211,33 @@ def above_baseline_decimal(t: Tables) -> DataFrame:
     return monitoring.above_baseline(t.log, "ts", "k", AS_OF, 30, 2, decimal_ratio=True)
 
 
-@check(
-    "hourly_tiered_alert",
-    """WITH h AS (SELECT date_trunc('hour', ts) AS hr, event_type, count(*) AS n FROM events GROUP BY 1, 2),
-      b AS (SELECT h.hr, h.event_type, h.n, coalesce(p.n, 0) AS prev, coalesce(y.n, 0) AS yest, coalesce((SELECT sum(w.n)::BIGINT // count(*) FROM h w
-          WHERE w.event_type = h.event_type AND w.hr IN (h.hr - INTERVAL 7 DAY, h.hr - INTERVAL 14 DAY, h.hr - INTERVAL 21 DAY, h.hr - INTERVAL 28 DAY)), 0) AS week
-        FROM h LEFT JOIN h p ON p.event_type = h.event_type AND p.hr = h.hr - INTERVAL 1 HOUR LEFT JOIN h y ON y.event_type = h.event_type AND y.hr = h.hr - INTERVAL 1 DAY)
-    SELECT event_type, strftime(hr, '%Y-%m-%d %H:%M:%S') AS hour_start, n AS executions, prev AS previous_hour, yest AS yesterday, week AS weekly_average FROM b
-    WHERE ((week = 0 AND yest = 0 AND prev = 0 AND n > 3) OR (week > 0 AND n > 2 * week) OR (week = 0 AND prev > 0 AND n > 2 * prev)
-      OR (week = 0 AND prev = 0 AND yest > 0 AND n > 2 * yest) OR n > 8) AND n > 2""",
-)
+TIERED = """WITH h AS (SELECT date_trunc('hour', ts) AS hr, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+    b AS (SELECT h.hr, h.event_type, h.n, coalesce(p.n, 0) AS prev, coalesce(y.n, 0) AS yest, coalesce((SELECT sum(w.n)::BIGINT // count(*) FROM h w
+        WHERE w.event_type = h.event_type AND w.hr IN (h.hr - INTERVAL 7 DAY, h.hr - INTERVAL 14 DAY, h.hr - INTERVAL 21 DAY, h.hr - INTERVAL 28 DAY)), 0) AS week
+      FROM h LEFT JOIN h p ON p.event_type = h.event_type AND p.hr = h.hr - INTERVAL 1 HOUR LEFT JOIN h y ON y.event_type = h.event_type AND y.hr = h.hr - INTERVAL 1 DAY)
+  SELECT event_type, strftime(hr, '%Y-%m-%d %H:%M:%S') AS hour_start, n AS executions, prev AS previous_hour, yest AS yesterday, week AS weekly_average FROM b
+  WHERE ((week = 0 AND yest = 0 AND prev = 0 AND n > 3) OR (week > 0 AND n > 2 * week) OR (week = 0 AND prev > 0 AND n > 2 * prev)
+    OR (week = 0 AND prev = 0 AND yest > 0 AND n > 2 * yest) OR n > 8) AND n > 2"""
+
+
+@check("hourly_tiered_alert", TIERED)
 def hourly_tiered_alert(t: Tables) -> DataFrame:
     return monitoring.hourly_alerts(t.events, "ts", ["event_type"], new_page=3, catch_all=8, noise=2)
 
 
+@check("incremental_hourly", TIERED)
+def incremental_hourly(t: Tables) -> DataFrame:
+    """The same from stored hours: three batches, of which one brings late rows, and one that is sent twice."""
+    store = monitoring.hourly_store(t.spark, scratch_path(t.spark, "hours"), {"event_type": "string"})
+    late = (F.col("event_id") % 3 == 0) & (F.col("ts") < "2024-01-15")
+    first, last = F.col("ts") < "2024-01-15", F.col("ts") >= "2024-01-22 07:30:00"
+    batches = [(1, first & ~late), (2, ~first & ~last), (3, last | late), (2, ~first & ~last)]
+    for number, rows in batches:
+        monitoring.add_hours(store, t.events.filter(rows), "ts", number)
+    store.compact()
+    return monitoring.stored_alerts(store, new_page=3, catch_all=8, noise=2)
+
+
 @check(
     "hourly_summary_alerts",
     """WITH h AS (SELECT date_trunc('hour', ts) AS hr, user_id AS page, count(*) AS n FROM events GROUP BY 1, 2),

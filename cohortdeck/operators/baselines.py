@@ -46,24 +46,35 @@ def day_against_average(
 
 
 def hourly_baselines(log: DataFrame, ts: str, keys: Sequence[str], weeks: int = 4) -> DataFrame:
-    """Counts per hour with the previous hour's, yesterday's and the same weekday's average.
+    """Counts per hour with the previous hour's, yesterday's and the same weekday's average (see ``baselines_of``)."""
+    hourly = log.groupBy(*keys, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour")).agg(
+        F.count(F.lit(1)).alias("executions")
+    )
+    start = shift(F.col("_day").cast("timestamp_ntz"), F.col("_hour"), "HOUR")
+    return baselines_of(hourly.select(*keys, start.alias("hour_start"), "executions"), keys, weeks)
+
+
+def baseline_lags(weeks: int = 4) -> list[tuple[str, int]]:
+    """The hours an hour is compared with: role and distance."""
+    return [("previous", 1), ("yesterday", 24), *[("weekly", 24 * 7 * w) for w in range(1, weeks + 1)]]
+
+
+def baselines_of(hourly: DataFrame, keys: Sequence[str], weeks: int = 4, wanted: DataFrame | None = None) -> DataFrame:
+    """Baselines of hourly counts (keys, ``hour_start``, ``executions``), one row per key and hour.
 
     Each hourly count is handed on to the later hours it serves as a baseline for,
     then all contributions of an hour meet in one aggregation (no self-joins).  The
-    weekly average is over the weeks that have the hour, in whole numbers.
+    weekly average is over the weeks that have the hour, in whole numbers.  With
+    ``wanted`` (keys and hours) only those hours are worked out.
     """
-    hourly = log.groupBy(*keys, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    roles = [("now", 0), ("previous", 1), ("yesterday", 24)]
-    roles += [("weekly", 24 * 7 * w) for w in range(1, weeks + 1)]
     served = F.explode(
-        F.array(*[F.struct(F.lit(role).alias("role"), F.lit(lag).alias("lag")) for role, lag in roles])
+        F.array(*[F.struct(F.lit(role).alias("role"), F.lit(lag).alias("lag")) for role, lag in [("now", 0), *baseline_lags(weeks)]])
     )
-    start = shift(F.col("_day").cast("timestamp_ntz"), F.col("_hour"), "HOUR")
-    moved = hourly.select(*keys, start.alias("_start"), "_n", served.alias("_s")).select(
+    moved = hourly.select(*keys, F.col("hour_start").alias("_start"), F.col("executions").alias("_n"), served.alias("_s")).select(
         *keys, shift(F.col("_start"), F.col("_s.lag"), "HOUR").alias("hour_start"), F.col("_s.role").alias("_role"), "_n"
     )
+    if wanted is not None:
+        moved = null_safe_join(moved, wanted.select(*keys, "hour_start").distinct(), [*keys, "hour_start"], "left_semi")
 
     def of(role: str) -> Column:
         return F.when(F.col("_role") == role, F.col("_n"))
@@ -80,6 +91,13 @@ def hourly_baselines(log: DataFrame, ts: str, keys: Sequence[str], weeks: int =
     )
 
 
+def touched_hours(changed: DataFrame, keys: Sequence[str], weeks: int = 4) -> DataFrame:
+    """The hours whose row of ``baselines_of`` a change of these hours' counts can alter."""
+    lag = F.explode(F.array(*[F.lit(lag) for lag in [0, *[lag for _, lag in baseline_lags(weeks)]]])).alias("_lag")
+    moved = changed.select(*keys, F.col("hour_start").alias("_start"), lag)
+    return moved.select(*keys, shift(F.col("_start"), F.col("_lag"), "HOUR").alias("hour_start")).distinct()
+
+
 def tiered_alert(
     now: Column,
     weekly: Column,

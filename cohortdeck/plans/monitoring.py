@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortdeck import fixed_values as fixed
 from cohortdeck.functions.labels import first_match
@@ -14,15 +16,19 @@ from cohortdeck.functions.texts import head, matches_none, slice_text, starts_wi
 from cohortdeck.functions.times import Moment, midnight, moment, shift, shift_days
 from cohortdeck.operators.aggregates import count_when, percent_of_total, top_rows
 from cohortdeck.operators.baselines import (
+    baseline_lags,
+    baselines_of,
     day_against_average,
     group_spread,
     high_outliers,
     hourly_baselines,
     low_outliers,
     tiered_alert,
+    touched_hours,
 )
 from cohortdeck.operators.filters import between_moments, rolling_window
 from cohortdeck.operators.joins import not_in, null_safe_join
+from cohortdeck.sources.published import Increments, Published
 
 TIME_PARTS = {
     "date": lambda ts: F.to_date(ts).alias("metric_date"),
@@ -269,6 +275,46 @@ def hourly_alerts(
     )
 
 
+def hourly_counts(log: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
+    """``executions`` per key and ``hour_start``."""
+    hourly = log.groupBy(*keys, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour")).agg(F.count(F.lit(1)).alias("executions"))
+    start = shift(F.col("_day").cast("timestamp_ntz"), F.col("_hour"), "HOUR")
+    return hourly.select(*keys, start.alias("hour_start"), "executions")
+
+
+def hourly_store(spark: SparkSession, path: str, keys: dict[str, str]) -> Increments:
+    """The stored hourly counts of a log; ``keys`` are names and types."""
+    columns = [f"`{k}` {kind}" for k, kind in keys.items()]
+    schema = StructType.fromDDL(", ".join([*columns, "hour_start timestamp_ntz", "executions bigint"]))
+    return Increments(Published(spark, path, schema))
+
+
+def add_hours(store: Increments, log: DataFrame, ts: str, batch: int) -> bool:
+    """Add a batch of the log to the stored hours; late rows add to their hour, a known batch changes nothing."""
+    return store.append(hourly_counts(log, ts, [k for k in store.keys if k != "hour_start"]), batch)
+
+
+def stored_alerts(store: Increments, changed: DataFrame | None = None, **thresholds: int) -> DataFrame:
+    """Alarming hours by the stored counts, without reading the log.
+
+    ``changed`` (the store's keys with ``hour_start``) limits the work to hours whose count or
+    baselines a change of these hours can alter: ``store.batch(n)`` gives those of a batch.
+    """
+    keys = [k for k in store.keys if k != "hour_start"]
+    hourly, wanted = store.state(), None
+    if changed is not None:
+        wanted = touched_hours(changed, keys)
+        first, last = changed.agg(F.min("hour_start"), F.max("hour_start")).first()
+        if first is None:
+            hourly = hourly.limit(0)
+        else:
+            span = timedelta(hours=max(lag for _, lag in baseline_lags()))
+            hourly = hourly.filter(F.col("hour_start").between(F.lit(first - span), F.lit(last + span)))
+    base = baselines_of(hourly, keys, wanted=wanted)
+    rule = tiered_alert(F.col("executions"), F.col("weekly_average"), F.col("previous_hour"), F.col("yesterday"), **thresholds)
+    return base.filter(rule).fillna(0, ["previous_hour", "yesterday", "weekly_average"])
+
+
 def summary_alerts(
     summary: DataFrame, pages: DataFrame, page: str, page_name: str, as_of: Moment, **thresholds: int
 ) -> DataFrame:

@@ -6,14 +6,18 @@ source, sink and trigger.  State is bounded by the watermark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from cohortdeck.functions.texts import slice_text
 from cohortdeck import fixed_values as fixed
+from cohortdeck.functions.texts import slice_text
+from cohortdeck.plans.monitoring import stored_alerts
+from cohortdeck.sources.published import Increments
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -103,6 +107,85 @@ def message_bursts(
     return stretches.groupBy(F.session_window("_first", gap).alias("_s"), "message_start").agg(first, last, total).drop("_s")
 
 
+def run_tiered_alerts(
+    events: DataFrame, ts: str, store: Increments, out: str, checkpoint: str, late: str = "10 minutes", **thresholds: int
+) -> DataFrame:
+    """Alarming hours of a stream, each as soon as it is complete; processes what is there.
+
+    An hour is complete when the watermark has passed it.  Its counts are then added to the
+    stored hours, whose older hours are its baselines, so the stream itself keeps only open
+    hours.  A micro-batch that is run again is known to the store by its number and writes the
+    same folder, so nothing is counted or warned of twice.
+    """
+    spark = events.sparkSession
+    keys = [k for k in store.keys if k != "hour_start"]
+    kinds = {f.name: f.dataType for f in store.table.schema}
+    counts = bucket_counts(events, ts, keys, "1 hour", late)
+
+    def finish(batch: DataFrame, number: int) -> None:
+        hours = batch.select(*keys, F.col("window_start").cast("timestamp_ntz").alias("hour_start"), F.col("metric_value").alias("executions"))
+        store.append(hours, number)
+        done = store.batch(number)
+        alerts = stored_alerts(store, done, **thresholds).join(done.select(*store.keys), store.keys, "left_semi")
+        alerts.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = counts.writeStream.foreachBatch(finish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [f"`{k}` {kinds[k].simpleString()}" for k in store.keys]
+    schema = ", ".join([*kept, "executions bigint", "previous_hour bigint", "yesterday bigint", "weekly_average bigint"])
+    return spark.read.schema(schema).parquet(f"{out}/batch=*")
+
+
+SEEN = "message_start string, first_ts timestamp"
+LAST = "last_seen bigint"
+
+
+def message_minutes(
+    log: DataFrame, ts: str, message: str, late: str = "10 minutes", prefix: tuple[int, int] = fixed.MESSAGE_PREFIX
+) -> DataFrame:
+    """The first and last time of each message beginning in each minute, when the minute is complete."""
+    rows = _timed(log, ts).select(ts, slice_text(F.col(message), *prefix).alias("message_start"))
+    return (
+        rows.withWatermark(ts, late)
+        .groupBy(F.window(ts, "1 minute").alias("_w"), "message_start")
+        .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+        .select("message_start", F.col("_w.start").alias("minute"), "first_ts", "last_ts")
+    )
+
+
+def unseen_messages(minutes: DataFrame, quiet: str = "5 hours", late: str = "10 minutes") -> DataFrame:
+    """Messages at the moment they turn up after being unseen for ``quiet``.
+
+    Takes the stored ``message_minutes`` as a stream, so a flooding message reaches its keyed
+    state as one row a minute.  The state is the time it was last seen; it is renewed on each
+    sight and dropped ``quiet`` later.  A row comes out once its minute is complete, unlike
+    those of ``message_bursts``, which wait for the burst's end.
+    """
+    rows = minutes.withWatermark("minute", late).select(
+        "message_start", "minute", F.unix_micros("first_ts").alias("first"), F.unix_micros("last_ts").alias("last")
+    )
+    gap = pd.Timedelta(quiet) // pd.Timedelta(microseconds=1)
+
+    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found = pd.concat(frames).sort_values("first")
+        seen = state.get[0] if state.exists else None
+        shown = []
+        for first, last in zip(found["first"].tolist(), found["last"].tolist(), strict=True):
+            if seen is None or first - seen >= gap:
+                shown.append((key[0], first))
+            seen = last if seen is None else max(seen, last)
+        state.update((seen,))
+        state.setTimeoutTimestamp(max(seen + gap, state.getCurrentWatermarkMs() * 1000) // 1000 + 60_000)
+        if shown:
+            table = pd.DataFrame(shown, columns=["message_start", "first_ts"])
+            yield table.assign(first_ts=pd.to_datetime(table["first_ts"], unit="us"))
+
+    return rows.groupBy("message_start").applyInPandasWithState(watch, SEEN, LAST, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Process what is there, append it to parquet files and read them back."""
     query = (

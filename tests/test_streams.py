@@ -62,3 +62,35 @@ def test_bursts_start_after_silence(spark, tmp_path, rows):
     assert rows(found, "message_start", "first_ts", "last_ts", "total") == expected
     rest = spark.createDataFrame([r for b in batches[:3] for r in b], SCHEMA)
     assert rows(monitors.message_bursts(rest, "ts", "key", "2 hours"), "message_start", "total") == [("x", 1), ("x", 3), ("y", 1)]
+
+
+def test_alerts_against_stored_hours(spark, tmp_path, rows):
+    """Hours finished by the stream, over two runs, give the alerts of the batch job."""
+    log = [(at(h, m), "a") for h, n in ((1, 3), (2, 8), (3, 9), (5, 30)) for m in range(n)] + [(at(4, 59), "b")] * 6
+    folder = str(tmp_path / "in")
+    store = monitoring.hourly_store(spark, str(tmp_path / "hours"), {"key": "string"})
+    for slice_ in ([r for r in log if r[0] < at(3, 5)], [r for r in log if r[0] >= at(3, 5)] + [(at(9), "end")]):
+        spark.createDataFrame(slice_, SCHEMA).write.mode("append").parquet(folder)
+        stream = monitors.file_stream(spark, folder, spark.createDataFrame([], SCHEMA).schema)
+        found = monitors.run_tiered_alerts(
+            stream, "ts", store, str(tmp_path / "out"), str(tmp_path / "state"), new_page=5, catch_all=25, noise=4
+        )
+    whole = monitoring.hourly_alerts(spark.createDataFrame(log, SCHEMA), "ts", ["key"], new_page=5, catch_all=25, noise=4)
+    assert rows(found, "key", "hour_start", "executions", "previous_hour") == rows(whole, "key", "hour_start", "executions", "previous_hour")
+    assert found.count() == 3
+
+
+def test_unseen_messages_renew_on_each_sight(spark, tmp_path, rows):
+    log = [(at(1), "x"), (at(1, 30), "x"), (at(3, 29), "x"), (at(2), "y"), (at(6), "x"), (at(8), "x"), (at(8), "y")] + [(at(12), "flood")] * 500
+    folder, state = str(tmp_path / "in"), str(tmp_path / "minute-state")
+    for low, high in ((0, 3), (3, 7), (7, 24)):
+        part = [r for r in log if low <= r[0].hour < high] + ([(at(23), "end")] if high == 24 else [])
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(folder)
+        stream = monitors.file_stream(spark, folder, spark.createDataFrame([], SCHEMA).schema)
+        minutes = monitors.run_to_files(monitors.message_minutes(stream, "ts", "key"), str(tmp_path / "minutes"), state)
+        arriving = monitors.file_stream(spark, str(tmp_path / "minutes"), minutes.schema)
+        found = run(monitors.unseen_messages(arriving, "2 hours"), str(tmp_path))
+    assert minutes.filter("message_start = 'flood'").count() == 1
+    assert rows(found.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz"))) == [
+        ("flood", at(12)), ("x", at(1)), ("x", at(6)), ("x", at(8)), ("y", at(2)), ("y", at(8))
+    ]
