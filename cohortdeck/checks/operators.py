@@ -12,7 +12,7 @@ from cohortdeck import fixed_values as fixed
 from cohortdeck.checks.entities import LOG, USERS, Tables
 from cohortdeck.checks.registry import check, sql_rate
 from cohortdeck.functions import extract, labels, numbers, texts, times
-from cohortdeck.operators import aggregates, asof, calendars, filters, joins, sets, timeline
+from cohortdeck.operators import aggregates, asof, calendars, filters, joins, selection, sets, timeline
 from cohortdeck.operators.baselines import group_spread
 from cohortdeck.plans import messaging, monitoring
 from cohortdeck.plans.funnels import first_views
@@ -406,7 +406,7 @@ def interval_money(t: Tables) -> DataFrame:
 )
 def top_half_by_time(t: Tables) -> DataFrame:
     once = t.events.groupBy("event_type", "user_id", "ts").agg(F.min("event_id").alias("event_id"))
-    return timeline.top_half(once, ["event_type"], "user_id", "ts").select("event_id")
+    return selection.top_half(once, ["event_type"], "user_id", "ts").select("event_id")
 
 
 @check(
@@ -692,7 +692,28 @@ def top_n(t: Tables) -> DataFrame:
 def top_half(t: Tables) -> DataFrame:
     row_id = (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("row_id")
     rows = t.lineitem.select("l_linenumber", "l_orderkey", "l_quantity", row_id).distinct()
-    return timeline.top_half(rows, ["l_linenumber"], "l_quantity", "row_id").drop("l_quantity")
+    return selection.top_half(rows, ["l_linenumber"], "l_quantity", "row_id").drop("l_quantity")
+
+
+def _ranked(column: str, parts: tuple[tuple[int, int], ...]) -> str:
+    hits = ", ".join(f"max(CASE WHEN rn = greatest(1, (n * {p} + {w} - 1) // {w}) THEN v END)" + f" AS q{k}" for k, (p, w) in enumerate(parts))
+    return f"""SELECT event_type, {hits} FROM (SELECT event_type, {column} AS v, row_number() OVER (PARTITION BY event_type ORDER BY {column}) AS rn,
+      count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type"""
+
+
+@check(
+    "discrete_quantiles",
+    f"""SELECT t.event_type, t.q0 AS low_name, t.q1 AS middle_name, t.q2 AS high_name, strftime(s.q0, '%Y-%m-%d %H:%M:%S') AS middle_ts, v.q0 AS tail_value
+    FROM ({_ranked("'ORDER-0000000000000000-' || lpad(CAST(event_id * 7919 % 100003 AS VARCHAR), 6, '0')", ((1, 4), (1, 2), (9, 10)))}) t
+    JOIN ({_ranked("ts", ((1, 2),))}) s USING (event_type) JOIN ({_ranked("value", ((99, 100),))}) v USING (event_type)""",
+)
+def discrete_quantiles(t: Tables) -> DataFrame:
+    """Quantiles of texts that begin alike, of times and of fractions."""
+    name = F.concat(F.lit("ORDER-0000000000000000-"), F.lpad((F.col("event_id") * 7919 % 100003).cast("string"), 6, "0"))
+    rows = t.events.select("event_type", name.alias("name"), "ts", "value")
+    names = selection.discrete_quantiles(rows, ["event_type"], "name", {"low_name": (1, 4), "middle_name": (1, 2), "high_name": (9, 10)})
+    times_ = selection.discrete_quantiles(rows, ["event_type"], "ts", {"middle_ts": (1, 2)})
+    return names.join(times_, "event_type").join(selection.discrete_quantiles(rows, ["event_type"], "value", {"tail_value": (99, 100)}), "event_type")
 
 
 @check(

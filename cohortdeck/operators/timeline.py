@@ -275,29 +275,3 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     whole = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
     half = F.call_function("div", total.cast("bigint"), F.lit(2).cast("bigint")) if whole else total / 2
     return middle.select(*keys, half.alias(name))
-
-
-def top_half(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str, cells: int = 32) -> DataFrame:
-    """The lower half of each group by ``value``, rounded up; ``tiebreak`` is unique.
-
-    The cut is an exact order statistic; rows tied at it are cut again by tiebreak.
-    """
-    half = F.floor((F.col("_size") + 1) / 2)
-    cut = (
-        value_ranks(df, keys, value, [half], cells)
-        .filter(_holds(half))
-        .select(*keys, F.col(value).alias("_cut"), (half - (F.col("_upto") - F.col("_n"))).alias("_need"))
-    )
-    marked = null_safe_join(df, cut, keys)
-    ties = marked.filter(F.col(value) == F.col("_cut"))
-    need = F.col("_need")
-    last = (
-        value_ranks(ties, keys, tiebreak, [need], cells, cut.select(*keys, "_need"))
-        .filter(_holds(need))
-        .select(*keys, F.col(tiebreak).alias("_last"))
-    )
-    inside = null_safe_join(marked, last, keys)
-    keep = (F.col(value) < F.col("_cut")) | (
-        (F.col(value) == F.col("_cut")) & (F.col(tiebreak) <= F.col("_last"))
-    )
-    return inside.filter(keep).select(*df.columns)

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cohortdeck.operators import aggregates, baselines, calendars, joins, sets, timeline
+from cohortdeck.operators import aggregates, baselines, calendars, joins, selection, sets, timeline
 from cohortdeck.plans import activity
 
 
@@ -161,9 +161,9 @@ def test_median_with_hot_group_and_hot_value(spark, cells):
 
 def test_top_half_rounds_up_and_cuts_ties(spark, rows):
     df = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("a", 1, 12), ("a", 2, 13), ("a", 9, 14), ("b", 1, 20)], "g string, v int, id int")
-    assert rows(timeline.top_half(df, ["g"], "v", "id"), "id") == [(10,), (11,), (12,), (20,)]
+    assert rows(selection.top_half(df, ["g"], "v", "id"), "id") == [(10,), (11,), (12,), (20,)]
     same = spark.createDataFrame([("a", 1, i) for i in range(7)], "g string, v int, id int")
-    assert rows(timeline.top_half(same, ["g"], "v", "id"), "id") == [(0,), (1,), (2,), (3,)]
+    assert rows(selection.top_half(same, ["g"], "v", "id"), "id") == [(0,), (1,), (2,), (3,)]
 
 
 # --- aggregates -------------------------------------------------------------------------

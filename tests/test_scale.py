@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from cohortdeck.operators import baselines, timeline
+from cohortdeck.operators import baselines, selection, timeline
 from cohortdeck.plans import activity, cohorts, experiments, monitoring, sales
 
 BIG = 10**12
@@ -98,7 +98,7 @@ def test_top_half_with_any_tiebreak(spark, rows, tiebreak):
     df = spark.range(101).selectExpr(
         "int(id) i", "'g' g", "1 v", "timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,0,id) t", "date_add(date'2020-01-01', int(id)) d", "concat('key-', lpad(id, 4, '0')) s"
     )
-    assert rows(timeline.top_half(df, ["g"], "v", tiebreak), "i") == sorted(((i,) for i in range(51)), key=lambda r: (True, str(r[0])))
+    assert rows(selection.top_half(df, ["g"], "v", tiebreak), "i") == sorted(((i,) for i in range(51)), key=lambda r: (True, str(r[0])))
 
 
 def test_no_group_keys(spark):
