@@ -12,7 +12,7 @@ from cohortdeck import fixed_values as fixed
 from cohortdeck.checks.entities import LOG, USERS, Tables
 from cohortdeck.checks.registry import check, sql_rate
 from cohortdeck.functions import extract, labels, numbers, texts, times
-from cohortdeck.operators import aggregates, asof, calendars, filters, joins, selection, sets, timeline
+from cohortdeck.operators import actives, aggregates, asof, calendars, filters, joins, selection, sets, timeline
 from cohortdeck.operators.baselines import group_spread
 from cohortdeck.plans import messaging, monitoring
 from cohortdeck.plans.funnels import first_views
@@ -716,6 +716,24 @@ def discrete_quantiles(t: Tables) -> DataFrame:
     return names.join(times_, "event_type").join(selection.discrete_quantiles(rows, ["event_type"], "value", {"tail_value": (99, 100)}), "event_type")
 
 
+@check(
+    "weekly_actives",
+    """SELECT event_type, CAST(date_trunc('week', ts) AS DATE)::VARCHAR AS period, 'week' AS kind, count(DISTINCT user_id) AS actives FROM events GROUP BY 1, 2
+    UNION ALL SELECT e.event_type, CAST(d.day AS VARCHAR), 'rolling', count(DISTINCT e.user_id)
+      FROM (SELECT DISTINCT CAST(ts AS DATE) + s AS day FROM events, (SELECT unnest(range(0, 7))::INTEGER AS s)) d
+      JOIN events e ON CAST(e.ts AS DATE) BETWEEN d.day - 6 AND d.day WHERE d.day <= (SELECT max(CAST(ts AS DATE)) FROM events) GROUP BY 1, 2""",
+)
+def weekly_actives(t: Tables) -> DataFrame:
+    """Distinct users by week and over seven days, from stored daily bitmaps; one day comes in two parts."""
+    late = (F.col("ts") >= "2024-01-10") & (F.col("ts") < "2024-01-11") & (F.col("event_id") % 2 == 0)
+    parts = [actives.daily_bitmaps(t.events.filter(rows), "ts", "user_id", ["event_type"]) for rows in (~late, late)]
+    days = actives.merged_days(tables.staged(parts[0].unionByName(parts[1]), "daily-users"), ["event_type"])
+    weeks = actives.actives(days, F.date_trunc("week", F.col("day").cast("timestamp_ntz")).cast("date"), "period", ["event_type"])
+    rolling = actives.rolling_actives(days, 7, ["event_type"]).withColumnRenamed("day", "period")
+    kinds = [df.withColumn("kind", F.lit(kind)) for df, kind in ((weeks, "week"), (rolling, "rolling"))]
+    return kinds[0].unionByName(kinds[1])
+
+
 @check(
     "calendar_spine",
     """SELECT CAST(d.day AS VARCHAR) AS day, count(o.o_orderkey) AS orders

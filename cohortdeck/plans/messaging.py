@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cohortdeck import fixed_values as fixed
 from cohortdeck.functions.labels import code_label
 from cohortdeck.functions.times import Moment
-from cohortdeck.operators.aggregates import count_when_or_null, distinct_when
 from cohortdeck.operators.baselines import trim_high
 from cohortdeck.operators.filters import closed_days
 from cohortdeck.operators.joins import with_role
@@ -40,23 +39,31 @@ def conversation_outcomes(
     status = F.col("last_status")
     from_ok, to_ok = ~F.col("_from").isin(*disabled), ~F.col("_to").isin(*disabled)
     outcomes = {"displayed": (1, 2, 3, 4), "accepted": (2, 4), "rejected": (3,)}
-    return (
-        roles.groupBy("metric_date")
-        .agg(
-            F.count_distinct("from_user").alias("senders"),
-            F.count_distinct("to_user").alias("recipients"),
-            F.count(F.lit(1)).alias("initiated"),
-            *[count_when_or_null(status.isin(*codes)).alias(name) for name, codes in outcomes.items()],
-            distinct_when("from_user", from_ok).alias("senders_clean"),
-            distinct_when("to_user", to_ok).alias("recipients_clean"),
-            count_when_or_null(from_ok).alias("initiated_clean"),
-            *[
-                count_when_or_null(status.isin(*codes) & from_ok).alias(f"{name}_clean")
-                for name, codes in outcomes.items()
-            ],
-        )
-        .orderBy("metric_date")
+    counted = {"initiated": F.lit(True), "initiated_clean": from_ok}
+    for name, codes in outcomes.items():
+        counted |= {name: status.isin(*codes), f"{name}_clean": status.isin(*codes) & from_ok}
+    # Each session once as its sender's and once as its recipient's; distinct users are then
+    # rows of a user with a flag, where the built-in rewrite repeats a row per distinct count.
+    nothing = F.lit(None).cast("int")
+    sides = F.array(
+        F.struct(F.lit(True).alias("sent"), F.col("from_user").alias("user"), from_ok.alias("ok"), *[F.when(test, 1).alias(n) for n, test in counted.items()]),
+        F.struct(F.lit(False).alias("sent"), F.col("to_user").alias("user"), to_ok.alias("ok"), *[nothing.alias(n) for n in counted]),
+    )
+    per_user = (
+        roles.select("metric_date", F.explode(sides).alias("_s")).select("metric_date", "_s.*")
+        .groupBy("metric_date", "sent", "user").agg(F.max("ok").alias("ok"), *[F.sum(n).alias(n) for n in counted])
+    )
+    known, sent, clean = F.col("user").isNotNull(), F.col("sent"), F.coalesce(F.col("ok"), F.lit(False))
+    order = ["initiated", *outcomes, "initiated_clean", *[f"{name}_clean" for name in outcomes]]
+    found = per_user.groupBy("metric_date").agg(
+        F.count_if(known & sent).alias("senders"),
+        F.count_if(known & ~sent).alias("recipients"),
+        F.count_if(known & sent & clean).alias("senders_clean"),
+        F.count_if(known & ~sent & clean).alias("recipients_clean"),
+        *[F.sum(n).alias(n) for n in order],
     )
+    first, last = order[: 1 + len(outcomes)], order[1 + len(outcomes) :]
+    return found.select("metric_date", "senders", "recipients", *first, "senders_clean", "recipients_clean", *last).orderBy("metric_date")
 
 
 def status_counts(

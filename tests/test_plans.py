@@ -24,7 +24,7 @@ def test_no_pairwise_joins_and_no_python(spark, name):
 
 
 @pytest.mark.parametrize(
-    "name, scans", [("conversion_funnel", 8), ("message_test", 6), ("hot_items", 1), ("hourly_tiered_alert", 1)]
+    "name, scans", [("conversion_funnel", 8), ("message_test", 6), ("hot_items", 1), ("hourly_tiered_alert", 1), ("top_messages", 1)]
 )
 def test_log_scans_do_not_multiply(spark, name, scans):
     """Steps that share an input share its shuffle once the query runs."""
@@ -34,6 +34,10 @@ def test_log_scans_do_not_multiply(spark, name, scans):
     assert final.count("FileScan") <= scans
 
 
+def test_distinct_counts_repeat_no_rows(spark):
+    assert "Expand " not in plan(entry.queries()["conversation_outcomes"](spark, SF_DIR))
+
+
 def test_windows_reach_the_scan(spark):
     t = Tables(spark, SF_DIR)
     text = plan(filters.closed_days(t.events, "ts", "2024-01-31 05:00:00", 7).select("event_type"))
