@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortdeck.checks.entities import AS_OF, LOG, Tables
 from cohortdeck.checks.registry import check
 from cohortdeck.functions import texts
+from cohortdeck.functions.times import shift
 from cohortdeck.operators.baselines import hourly_baselines
 from cohortdeck.operators.filters import lagged_window
 from cohortdeck.plans import monitoring
@@ -321,3 +322,65 @@ def slow_sources(t: Tables) -> DataFrame:
         "host", F.col("event_type").alias("source"), "ms", F.floor(F.col("ms") * F.col("k") / 100).cast("bigint").alias("share")
     )
     return monitoring.slow_sources(pages, "host", "source", "ms", "share", site(), min_count=100)
+
+
+ALIASES = ("x1mass02", "MASESS", "DAL16", "q_masr7", "MAREGWRITE", "MASchEng", "Chint", "other")
+PAGES = """pages AS (SELECT event_id AS seq, ts, substring(site_code, 1, 2) || '1MAWS' || lpad(CAST(user_id % 230 AS VARCHAR), 3, '0') AS host,
+    ms * 3 AS total_ms, ms * 3 * (k % 3) // 2 AS db_ms FROM log),
+  calls AS (SELECT event_id AS seq, ts + (k - 20) * INTERVAL 1 MINUTE AS ts, k % 25 AS procedure_id, user_id % 40 AS alias_id, ms - 300 AS component_ms FROM log
+    UNION ALL SELECT event_id, ts, k % 30, user_id % 8, ms FROM log WHERE k % 2 = 0),
+  procedures AS (SELECT n_nationkey AS procedure_id, n_name AS procedure FROM nation),
+  aliases AS (SELECT s_suppkey AS alias_id, list_extract(['x1mass02', 'MASESS', 'DAL16', 'q_masr7', 'MAREGWRITE', 'MASchEng', 'Chint', 'other'], CAST(s_suppkey % 8 + 1 AS INTEGER)) AS source FROM supplier)"""
+NOT_WATCHED = f"({HOSTS_KEPT}) AND host <> 'DA1MAWS057'"
+
+
+def _page_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Headers, calls and names of a page log, from the site's log and two dimension tables."""
+    log, user, k, ms = t.log, F.col("user_id"), F.col("k"), F.col("ms")
+    host = F.concat(F.substring("site_code", 1, 2), F.lit("1MAWS"), F.lpad((user % 230).cast("string"), 3, "0"))
+    seq = F.col("event_id").alias("seq")
+    headers = log.select(seq, "ts", host.alias("host"), (ms * 3).alias("total_ms"), F.expr("ms * 3 * (k % 3) div 2").alias("db_ms"))
+    first = log.select(
+        seq, shift(F.col("ts"), k - 20, "MINUTE").alias("ts"), (k % 25).alias("procedure_id"), (user % 40).alias("alias_id"), (ms - 300).alias("component_ms")
+    )
+    second = log.filter(k % 2 == 0).select(seq, "ts", (k % 30).alias("procedure_id"), (user % 8).alias("alias_id"), ms.alias("component_ms"))
+    procedures = t.nation.select(F.col("n_nationkey").alias("procedure_id"), F.col("n_name").alias("procedure"))
+    alias = F.element_at(F.array(*map(F.lit, ALIASES)), (F.col("s_suppkey") % 8 + 1).cast("int"))
+    return headers, first.unionByName(second), procedures, t.supplier.select(F.col("s_suppkey").alias("alias_id"), alias.alias("source"))
+
+
+@check(
+    "slow_components_whole",
+    f"""WITH {LOG}, {PAGES}, s AS (SELECT CASE WHEN left(host, 2) = 'DA' THEN 'ClearView' ELSE 'DuPont' END AS site, source, component_ms AS ms
+        FROM pages p JOIN calls c ON c.seq = p.seq JOIN procedures USING (procedure_id) JOIN aliases USING (alias_id)
+        WHERE p.ts >= TIMESTAMP '2024-01-10 00:00:00' AND c.ts >= TIMESTAMP '2024-01-10 00:00:00' AND component_ms > 0 AND total_ms >= 2000
+          AND db_ms // total_ms >= 0.75 AND {NOT_WATCHED}),
+      r AS (SELECT *, row_number() OVER (PARTITION BY site, source ORDER BY ms) AS up, row_number() OVER (PARTITION BY site, source ORDER BY ms DESC) AS down,
+        count(*) OVER (PARTITION BY site, source) AS n FROM s),
+      g AS (SELECT site, source, count(*) AS occurrences, sum(ms)::BIGINT AS total, stddev_samp(ms) / 1000 AS dev,
+        ((max(CASE WHEN up <= (n + 1) // 2 THEN ms END) + min(CASE WHEN down <= (n + 1) // 2 THEN ms END)) // 2) / 1000 AS mid FROM r GROUP BY 1, 2)
+    SELECT site, source, occurrences, CAST((2 * total + occurrences) // (2 * occurrences) AS DOUBLE) / 1000 AS average_seconds FROM g
+    WHERE dev IS NOT NULL AND mid > 1.0 AND occurrences - mid > dev * 2 AND occurrences > 20""",
+)
+def slow_components_whole(t: Tables) -> DataFrame:
+    """From headers and calls to the sources that slow pages wait for; shares of whole numbers."""
+    pages = monitoring.slow_page_details(*_page_tables(t), as_of=AS_OF, minutes=21 * 24 * 60, slow_ms=2000)
+    return monitoring.slow_components(
+        pages, ["site", "source"], "total_ms", "db_ms", "component_ms", slow_ms=2000, min_share=0.75, min_seconds=1.0, min_count=20
+    )
+
+
+@check(
+    "classify_sources",
+    f"""WITH {LOG}, {PAGES}, s AS (SELECT source, total_ms, db_ms FROM pages p LEFT JOIN calls c ON c.seq = p.seq LEFT JOIN procedures USING (procedure_id)
+        LEFT JOIN aliases USING (alias_id) WHERE p.ts >= TIMESTAMP '2024-01-30 12:00:00' AND total_ms >= 5000 AND {NOT_WATCHED})
+    SELECT CASE WHEN source ILIKE '%mass%' OR source ILIKE 'MASESS' THEN 'Session' WHEN source ILIKE 'DAL16' OR source ILIKE '%masr%' THEN 'Read'
+        WHEN source ILIKE 'MAREGWRITE' THEN 'Reg' WHEN source ILIKE 'MASchEng' THEN 'Search Engine' WHEN source ILIKE 'CHINT' THEN 'Chem Int' ELSE source END AS class,
+      count(*) AS calls, sum(total_ms)::BIGINT AS total_ms, sum(db_ms)::BIGINT AS db_ms FROM s GROUP BY 1""",
+)
+def classify_sources(t: Tables) -> DataFrame:
+    """Slow pages of the last half day by the class of the sources they called, also pages without a call."""
+    pages = monitoring.slow_page_details(*_page_tables(t), as_of=AS_OF, minutes=12 * 60, slow_ms=5000, keep_without_details=True)
+    return pages.groupBy(monitoring.source_class(F.col("source")).alias("class")).agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("total_ms").alias("total_ms"), F.sum("db_ms").alias("db_ms")
+    )

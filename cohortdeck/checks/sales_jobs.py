@@ -271,3 +271,26 @@ def merged_metrics(t: Tables) -> DataFrame:
         AS_OF,
         2220,
     )
+
+
+CHAIN = """chain AS (SELECT o_orderdate AS ts, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey
+    JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey
+    WHERE o_orderstatus IN ('F', 'O') AND left(o_orderpriority, 1) IN ('1', '3') AND o_custkey % 5 IN (1, 4) AND p_size % 7 = 2 AND s_nationkey < 20
+      AND o_orderdate >= TIMESTAMP '1996-01-01')"""
+
+
+@check("billing_chain_daily", f"WITH {CHAIN} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS metric_date, CAST(sum(amount) AS DOUBLE) AS revenue, count(*) AS line_count FROM chain GROUP BY 1")
+def billing_chain_daily(t: Tables) -> DataFrame:
+    """Daily revenue of a feature from the six tables of the chain."""
+    trx = t.trx.select("trx_id", "user_id", "ts", "amount", F.substring("priority", 1, 1).cast("int").alias("trx_type"), "status", (F.col("user_id") % 5).alias("category"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    detail = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("account_detail_id")
+    trx_details = lines.select(F.col("l_orderkey").alias("trx_id"), detail)
+    account_details = lines.select(detail, F.col("l_suppkey").alias("order_id"), F.col("l_partkey").alias("product_detail_id"))
+    orders = t.supplier.filter(F.col("s_nationkey") < 20).select(F.col("s_suppkey").alias("order_id"))
+    product_details = t.part.select(F.col("p_partkey").alias("product_detail_id"), F.col("p_size").alias("product_id"))
+    products = t.part.select(F.col("p_size").alias("product_id"), (F.col("p_size") % 7).alias("feature_id")).distinct()
+    chain = sales.billing_chain(
+        trx, trx_details, account_details, orders, product_details, products, [2], [1, 3], statuses=[1, 2], start="1996-01-01"
+    )
+    return sales.revenue(chain, "amount", "ts", by_day=True)

@@ -129,3 +129,25 @@ SEVERITY_PREFIXES = {
 SLOW_MS = 5000
 VERY_SLOW_SHARE = 0.75  # database share of the page time
 TRACE_SECONDS = 300
+
+# Classes of data sources by their alias; the first rule that fits counts, `%` stands
+# for any letters, case doesn't matter, and other aliases are classes of their own.
+SOURCE_CLASSES = (
+    ("%mass%", "Session"),
+    ("MASESS", "Session"),
+    ("DAL16", "Read"),
+    ("%masr%", "Read"),
+    ("DAL17\\MAWRITE01", "Write"),
+    ("MAREG", "Reg"),
+    ("MAREGWRITE", "Reg"),
+    ("%masa85%", "Reg"),
+    ("MAOSDB\\MAOSDB01", "OSDB"),
+    ("MASchEng", "Search Engine"),
+    ("MasCache", "Cache"),
+    ("MAPHOTO", "Photo"),
+    ("%masp%", "Photo"),
+    ("CHINT", "Chem Int"),
+)
+
+# Fixed value: hosts by name that slow-page jobs leave out beside EXCLUDED_HOSTS.
+EXCLUDED_HOST_NAMES = ("DA1MAWS057",)

@@ -359,6 +359,53 @@ def _any(tests: Sequence[Column]) -> Column:
     return found
 
 
+def source_class(alias: Column, rules: Sequence[tuple[str, str]] = fixed.SOURCE_CLASSES) -> Column:
+    """Class of a data source by the first pattern its alias fits; else the alias itself, null for none."""
+    name = F.lower(alias)
+
+    def fits(pattern: str) -> Column:
+        text = pattern.strip("%").lower()
+        return name.contains(text) if pattern.startswith("%") else name == text
+
+    return first_match([(fits(pattern), label) for pattern, label in rules], alias)
+
+
+def slow_page_details(
+    headers: DataFrame,
+    details: DataFrame,
+    procedures: DataFrame,
+    aliases: DataFrame,
+    as_of: Moment,
+    minutes: int = 60,
+    slow_ms: int = fixed.SLOW_MS,
+    patterns: Sequence[str] = fixed.EXCLUDED_HOSTS,
+    names: Sequence[str] = fixed.EXCLUDED_HOST_NAMES,
+    keep_without_details: bool = False,
+) -> DataFrame:
+    """The calls of recent slow pages with their names: the input of ``slow_components`` and ``slow_sources``.
+
+    ``headers``: seq, ts, host, total_ms, db_ms.  ``details``: seq, ts, procedure_id, alias_id,
+    component_ms.  ``procedures``: procedure_id, procedure.  ``aliases``: alias_id, source.
+    Both logs are read from ``minutes`` before ``as_of`` on, and pages and calls are filtered
+    before they meet, so what moves is the slow part of the last minutes.  By default only calls
+    that took time and are known by name count; ``keep_without_details`` keeps every slow page,
+    with nulls, and every call.
+    """
+    start = shift(as_of, -minutes, "MINUTE")
+    slow = between_moments(headers, "ts", start, None).filter(F.col("total_ms") >= slow_ms)
+    pages = monitored_hosts(slow, "host", patterns, names).select("seq", "host", "total_ms", "db_ms")
+    calls = details.select("seq", "ts", "procedure_id", "alias_id", "component_ms")
+    how = "left"
+    if not keep_without_details:
+        calls, how = between_moments(calls, "ts", start, None).filter(F.col("component_ms") > 0), "inner"
+    return (
+        pages.join(calls.drop("ts"), ["seq"], how)
+        .join(procedures.select("procedure_id", "procedure"), ["procedure_id"], how)
+        .join(aliases.select("alias_id", "source"), ["alias_id"], how)
+        .select("seq", "host", site_of(F.col("host")).alias("site"), "source", "procedure", "total_ms", "db_ms", "component_ms")
+    )
+
+
 def slow_components(
     pages: DataFrame,
     keys: Sequence[str],

@@ -109,6 +109,43 @@ def sales_by_validity(
     return spine.join(daily, ["purchase_date"], "left").fillna(0, ["buyers"]).orderBy("purchase_date", "state")
 
 
+def billing_chain(
+    trx: DataFrame,
+    trx_details: DataFrame,
+    account_details: DataFrame,
+    orders: DataFrame,
+    product_details: DataFrame,
+    products: DataFrame,
+    features: Sequence[int],
+    trx_types: Sequence[int],
+    statuses: Sequence[int] = (1,),
+    categories: Sequence[int] = (1, 4),
+    start: Moment | None = None,
+) -> DataFrame:
+    """Transactions along the billing chain to a product feature: the input of ``revenue``.
+
+    ``trx``: trx_id, user_id, ts, amount, trx_type, status, category.  ``trx_details``: trx_id,
+    account_detail_id.  ``account_details``: account_detail_id, order_id, product_detail_id.
+    ``orders``: order_id.  ``product_details``: product_detail_id, product_id.  ``products``:
+    product_id, feature_id.  A transaction has a row, with its whole amount, per detail that
+    leads to a product of the features.  The product side shrinks to its ids first, and
+    transactions are filtered at their scan; other columns of ``trx`` are handed on.
+    """
+    wanted = between_moments(trx, "ts", start, None).filter(
+        F.col("trx_type").isin(*trx_types) & F.col("status").isin(*statuses) & F.col("category").isin(*categories)
+    )
+    sold = products.filter(F.col("feature_id").isin(*features)).select("product_id")
+    wares = product_details.select("product_detail_id", "product_id").join(sold, ["product_id"]).select("product_detail_id")
+    booked = (
+        account_details.select("account_detail_id", "order_id", "product_detail_id")
+        .join(wares, ["product_detail_id"])
+        .join(orders.select("order_id"), ["order_id"])
+        .select("account_detail_id")
+    )
+    lines = trx_details.select("trx_id", "account_detail_id").join(booked, ["account_detail_id"]).select("trx_id")
+    return wanted.join(lines, ["trx_id"])
+
+
 def revenue(
     lines: DataFrame, amount: str, ts: str, filters: Sequence[Column] = (), start: Moment | None = None, by_day: bool = False
 ) -> DataFrame:

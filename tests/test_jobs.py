@@ -319,3 +319,45 @@ def test_listing_of_one_day(spark, rows):
 def test_daily_share(spark, rows):
     df = spark.createDataFrame([(at(1), 1), (at(1), 2), (at(1), 3)], "ts timestamp_ntz, brand int")
     assert rows(activity.daily_share(df, "ts", F.col("brand").isin(1))) == [(day(1), 3, 1, Decimal("33.3333"))]
+
+
+# --- slow pages and the billing chain from their tables ----------------------------------
+
+
+def test_source_classes_by_first_rule(spark):
+    aliases = ["x1MASS02", "masess", "DAL16", "q_masr7", "DAL17\\MAWRITE01", "MAREG", "MAREGWRITE", "1masa85", "MAOSDB\\MAOSDB01", "MASchEng", "MasCache", "MAPHOTO", "masp1", "chint", "DAL17", None]
+    df = spark.createDataFrame([(k, a) for k, a in enumerate(aliases)], "i int, a string")
+    found = [r[0] for r in df.orderBy("i").select(monitoring.source_class(F.col("a"))).collect()]
+    assert found == ["Session", "Session", "Read", "Read", "Write", "Reg", "Reg", "Reg", "OSDB", "Search Engine", "Cache", "Photo", "Photo", "Chem Int", "DAL17", None]
+
+
+def test_slow_pages_need_both_bounds(spark, rows):
+    now, old = "2024-01-01 12:00:00", "2024-01-01 10:00:00"
+    ts = F.col("ts").cast("timestamp_ntz").alias("ts")
+    headers = spark.createDataFrame(
+        [(1, now, "EC1MAWS001", 6000, 6000), (2, old, "EC1MAWS001", 6000, 6000), (3, now, "EC1MAWS001", 4999, 1), (4, now, "DA1MAWS057", 9000, 1),
+         (5, now, "DA1MAWS142", 9000, 1), (6, now, "DA1MAWS001", 5000, 1)],
+        "seq int, ts string, host string, total_ms int, db_ms int",
+    ).select("seq", ts, "host", "total_ms", "db_ms")
+    details = spark.createDataFrame(
+        [(1, now, 1, 1, 50), (1, old, 1, 1, 70), (1, now, 1, 1, 0), (1, now, 9, 1, 80), (2, now, 1, 1, 90), (6, old, 1, 2, 30)],
+        "seq int, ts string, procedure_id int, alias_id int, component_ms int",
+    ).select("seq", ts, "procedure_id", "alias_id", "component_ms")
+    procedures = spark.createDataFrame([(1, "p1")], "procedure_id int, procedure string")
+    aliases = spark.createDataFrame([(1, "MAREG"), (2, "DAL16")], "alias_id int, source string")
+    tables = (headers, details, procedures, aliases, "2024-01-01 12:30:00")
+    assert rows(monitoring.slow_page_details(*tables), "seq", "site", "source", "component_ms") == [(1, "DuPont", "MAREG", 50)]
+    every = monitoring.slow_page_details(*tables, keep_without_details=True)
+    assert rows(every, "seq", "procedure", "component_ms") == [(1, None, 80), (1, "p1", 0), (1, "p1", 50), (1, "p1", 70), (6, "p1", 30)]
+
+
+def test_revenue_counts_a_transaction_per_detail(spark, rows):
+    ts = "timestamp_ntz'2024-01-02'"
+    trx = spark.sql(f"SELECT * FROM VALUES (1, 7, {ts}, 10.0, 14, 1, 1), (2, 7, {ts}, 5.0, 14, 2, 1), (3, 7, {ts}, 4.0, 14, 1, 4), (4, 7, {ts}, 3.0, 1, 1, 1) AS t(trx_id, user_id, ts, amount, trx_type, status, category)")
+    trx_details = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (3, 4), (4, 1)], "trx_id int, account_detail_id int")
+    account_details = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 2), (4, 9, 1)], "account_detail_id int, order_id int, product_detail_id int")
+    orders = spark.createDataFrame([(1,)], "order_id int")
+    product_details = spark.createDataFrame([(1, 1), (2, 2)], "product_detail_id int, product_id int")
+    products = spark.createDataFrame([(1, 26), (2, 1)], "product_id int, feature_id int")
+    chain = sales.billing_chain(trx, trx_details, account_details, orders, product_details, products, [26], [14])
+    assert rows(sales.revenue(chain, "amount", "ts"), "revenue", "line_count") == [(Decimal("20.00"), 2)]
