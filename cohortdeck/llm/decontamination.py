@@ -114,6 +114,13 @@ class Benchmark:
         pattern = self.items[place][1]
         size, errors = len(pattern), self.budget(len(pattern))
         done = -1
+        if not errors:  # the piece is the whole item, which must stand between word borders
+            for start in starts:
+                borders = (start == 0 or clean[start - 1] == " ") and clean[start + size : start + size + 1] in ("", " ")
+                if start >= done and borders:
+                    done = start + size
+                    yield 0, start, done
+            return
         k = 0
         while k < len(starts):
             first = last = starts[k]
@@ -149,7 +156,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, least: int = 14
     Texts and items are compared as lower-cased words with single spaces.  An item of n
     letters may differ by ``rate * n`` insertions, deletions and replacements (fewer where
     its pieces would be shorter than ``least`` letters; items shorter than twice that must
-    occur exactly).  It is cut into one piece more than that, so at least one piece occurs
+    occur exactly, as whole words).  It is cut into one piece more than that, so at least one piece occurs
     unchanged; pieces are found in one pass over each text, and the stretch around each is
     verified with Myers' distance.
 

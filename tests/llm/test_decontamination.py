@@ -77,3 +77,11 @@ def test_odd_documents_and_items(spark):
     nothing = items.filter("item_id = 1")
     assert d.leaks(frame(spark), nothing).collect() == [] and d.leaks(empty(spark), items).collect() == []
     assert d.keep_clean(frame(spark), nothing).count() == frame(spark).count()
+
+
+def test_short_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "yes", "x"), (2, "b c", "x")], ITEMS)
+    rows = [(1, "my eyes are open", "en", "a", 1), (2, "eyes? Yes!", "en", "a", 1), (3, "ab c", "en", "a", 1), (4, "b cd, a b c", "en", "a", 1), (5, "yesyes yes yes", "en", "a", 1)]
+    found = d.leaks(frame(spark, rows), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.n_found) for r in found) == [(2, 1, 0, 1), (4, 2, 0, 1), (5, 1, 0, 2)]
+    assert sorted(r.doc_id for r in d.keep_clean(frame(spark, rows), items).collect()) == [1, 3]
