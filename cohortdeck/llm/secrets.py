@@ -42,6 +42,9 @@ RULES = BASE_RULES + MORE_RULES
 LEDGER = "blob binary, scanned array<string>, spans array<struct<kind: string, start: int, stop: int>>"
 
 
+STRETCH = 256  # matches walked at once: a list that grows by one is copied each time
+
+
 def blob_id(content: Column) -> Column:
     """The content's address; a null content is an empty one."""
     return F.unhex(F.sha2(F.coalesce(content, F.lit("")), 256))
@@ -70,8 +73,23 @@ def rule_spans(text: Column, rule: Rule) -> Column:
         spans = F.when(part["held"], F.concat(state["spans"], span)).otherwise(state["spans"])
         return F.struct(stop.alias("at"), spans.alias("spans"))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
-    return F.when(F.rlike(text, pattern), walked["spans"]).otherwise(none)
+    def stretches(all_parts: Column) -> Column:
+        """The spans of each ``STRETCH`` matches, counted from the stretch's beginning, and where it ends."""
+        first = F.sequence(F.lit(1), F.size(all_parts), F.lit(STRETCH))
+        return F.transform(first, lambda k: F.aggregate(F.slice(all_parts, k, STRETCH), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+
+    def placed(found: Column) -> Column:
+        begins = F.aggregate(
+            found, F.array(F.lit(0)), lambda before, one: F.concat(before, F.array(F.element_at(before, -1) + one["at"]))
+        )
+        moved = F.zip_with(found, F.slice(begins, 1, F.size(found)), lambda one, at: F.transform(
+            one["spans"], lambda s: F.struct(kind, (s["start"] + at).alias("start"), (s["stop"] + at).alias("stop"))
+        ))
+        return F.flatten(moved)
+
+    # Lambda variables hold what was computed once; a plain expression would be computed per stretch.
+    walked = F.element_at(F.transform(F.transform(F.array(parts), stretches), placed), 1)
+    return F.when(F.rlike(text, pattern), walked).otherwise(none)
 
 
 def scan_unseen(history: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -66,3 +66,18 @@ def test_content_of_very_many_paths(spark):
     ledger = secrets.scan_unseen(history)
     assert ledger.count() == 1001
     assert {r.n for r in secrets.findings(history, ledger).selectExpr("size(spans) n").collect()} == {1}
+
+
+def test_very_many_matches_in_a_text(spark):
+    """100,000 matches, some too short to count, in time that grows with them."""
+    import re
+    import time
+
+    text = " ".join(f"token={'x' * (3 + k % 7)}" for k in range(100_000))
+    rule = secrets.BASE_RULES[0]
+    df = spark.createDataFrame([(text,)], "t string").select(secrets.rule_spans(secrets.F.col("t"), rule).alias("s"))
+    began = time.perf_counter()
+    spans = [(s["kind"], s["start"], s["stop"]) for s in df.first()["s"]]
+    assert time.perf_counter() - began < 60
+    found = re.finditer(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text)
+    assert spans == [("assign", m.start(), m.end()) for m in found if len(m[2]) >= 6]
