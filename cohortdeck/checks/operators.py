@@ -12,12 +12,12 @@ from cohortdeck import fixed_values as fixed
 from cohortdeck.checks.entities import LOG, USERS, Tables
 from cohortdeck.checks.registry import check, sql_rate
 from cohortdeck.functions import extract, labels, numbers, texts, times
-from cohortdeck.operators import actives, aggregates, asof, calendars, filters, joins, selection, sets, timeline
+from cohortdeck.operators import actives, aggregates, asof, calendars, filters, joins, patterns, reduction, selection, sets, timeline
 from cohortdeck.operators.baselines import group_spread
 from cohortdeck.plans import messaging, monitoring
 from cohortdeck.plans.funnels import first_views
 from cohortdeck.session import scratch_path
-from cohortdeck.sources import published, summaries, tables
+from cohortdeck.sources import federated, published, summaries, tables
 
 # --- sources -------------------------------------------------------------------
 
@@ -73,6 +73,37 @@ def weekly_range_scan(t: Tables) -> DataFrame:
     return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@check(
+    "federated_scan",
+    """WITH a AS (SELECT CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'old' WHEN ts < TIMESTAMP '2024-01-20' THEN 'middle' ELSE 'new' END AS source,
+        CASE WHEN ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' THEN NULL ELSE event_type END AS event_type, value FROM events
+      WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-25')
+    SELECT source, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM a WHERE source <> 'none' GROUP BY 1, 2""",
+)
+def federated_scan(t: Tables) -> DataFrame:
+    """Three folders of one log that name their columns differently, one without the kind of event."""
+    days = [datetime(2024, 1, 1), datetime(2024, 1, 10), datetime(2024, 1, 20), datetime(2024, 3, 1)]
+    own = {
+        "old": {"ts": "happened", "event_type": "kind", "amount": F.col("cents") / 100},
+        "middle": {"amount": "amount"},
+        "new": {"ts": "ts", "amount": "value"},
+    }
+    shapes = {
+        "old": [F.col("ts").alias("happened"), F.col("event_type").alias("kind"), F.round(F.col("value").cast("decimal(18,2)") * 100).cast("bigint").alias("cents")],
+        "middle": [F.col("ts"), F.col("value").cast("decimal(18,2)").cast("string").alias("amount")],
+        "new": [F.col("ts"), F.col("event_type"), F.col("value")],
+    }
+    members = []
+    for name, start, end in zip(own, days, days[1:]):
+        path = scratch_path(t.spark, f"log-{name}")
+        bounds = (None if name == "old" else start, None if name == "new" else end)
+        filters.between_moments(t.events, "ts", *bounds).select(*shapes[name]).write.parquet(path)
+        members.append(federated.Source(name, lambda spark, path=path: spark.read.parquet(path), own[name], *bounds))
+    schema = StructType().add("ts", "timestamp_ntz").add("event_type", "string").add("amount", "decimal(18,2)")
+    log = federated.federated_table(t.spark, members, schema, "ts", datetime(2024, 1, 5, 6), datetime(2024, 1, 25))
+    return log.groupBy("source", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+
+
 @check(
     "summary_sink_roundtrip",
     """SELECT c_mktsegment AS "Segment", count(*) AS "Users",
@@ -354,6 +385,62 @@ def semi_join(t: Tables) -> DataFrame:
     return joins.with_keys(t.customer, high, ["c_custkey"]).select("c_custkey", "c_name")
 
 
+SELECTED = "segment = 'BUILDING' AND login_disabled = 0 AND nation_key < 5"
+
+
+@check(
+    "reduced_semi_join",
+    f"""WITH {USERS} SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events
+    WHERE user_id IN (SELECT user_id FROM users WHERE {SELECTED}) GROUP BY 1""",
+)
+def reduced_semi_join(t: Tables) -> DataFrame:
+    """The log of a small population; other rows are dropped while it is scanned."""
+    found = reduction.reduced_semi_join(t.events, t.users.filter(SELECTED), ["user_id"])
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@check(
+    "reduced_anti_join",
+    f"""WITH {USERS} SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events e
+    WHERE NOT EXISTS (FROM users u WHERE u.user_id = e.user_id AND {SELECTED}) GROUP BY 1""",
+)
+def reduced_anti_join(t: Tables) -> DataFrame:
+    """The log without a small population; only rows that may be theirs are moved."""
+    found = reduction.reduced_anti_join(t.events, t.users.filter(SELECTED), ["user_id"])
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+# Patterns made of the users: whole ends, beginnings with one-letter wildcards, runs inside, and what is left.
+PATTERNS = r"""patterns AS (
+  SELECT '%WEB' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS pattern, 1 AS rank, 'user of ' || segment AS label FROM users WHERE user_id % 3 = 0
+  UNION ALL SELECT 'DA1WEB' || substring(lpad(CAST(user_id AS VARCHAR), 6, '0'), 1, 5) || '_', 2, 'ten at DA' FROM users WHERE user_id % 20 = 1
+  UNION ALL SELECT '%1WEB' || substring(lpad(CAST(user_id AS VARCHAR), 6, '0'), 1, 5) || '%', 3, 'ten anywhere' FROM users WHERE user_id % 20 = 11
+  UNION ALL SELECT 'EC%', 4, 'EC'
+  UNION ALL SELECT '____________', 5, 'twelve letters')"""
+
+
+@check(
+    "pattern_classes",
+    f"""WITH {USERS}, {LOG}, {PATTERNS}, h AS (SELECT host, count(*) AS n FROM log GROUP BY 1),
+    c AS (SELECT host, n, (SELECT min_by(label, rank) FROM patterns WHERE host LIKE pattern) AS class FROM h)
+    SELECT class, count(*) AS hosts, sum(n)::BIGINT AS n FROM c GROUP BY 1""",
+)
+def pattern_classes(t: Tables) -> DataFrame:
+    """Hosts by the first of some thousand patterns."""
+    digits, five = F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lpad(F.col("user_id").cast("string"), 6, "0").substr(1, 5)
+    column = F.col("user_id")
+    listed = [
+        t.users.filter(column % 3 == 0).select(F.concat(F.lit("%WEB"), digits), F.lit(1), F.concat(F.lit("user of "), "segment")),
+        t.users.filter(column % 20 == 1).select(F.concat(F.lit("DA1WEB"), five, F.lit("_")), F.lit(2), F.lit("ten at DA")),
+        t.users.filter(column % 20 == 11).select(F.concat(F.lit("%1WEB"), five, F.lit("%")), F.lit(3), F.lit("ten anywhere")),
+        t.spark.createDataFrame([("EC%", 4, "EC"), ("_" * 12, 5, "twelve letters")], "pattern string, rank int, label string"),
+    ]
+    given = sets.append(*[frame.toDF("pattern", "rank", "label") for frame in listed])
+    hosts = t.log.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    found = patterns.pattern_classes(hosts, "host", given, "pattern", "rank", "label")
+    return found.groupBy("class").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"))
+
+
 @check(
     "event_before_event",
     f"""WITH {LOG} SELECT DISTINCT p.event_id, p.user_id, p.session_id FROM log p

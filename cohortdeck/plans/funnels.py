@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from cohortdeck.functions.times import Moment, shift
 from cohortdeck.operators.aggregates import count_when
 from cohortdeck.operators.filters import between_moments
 from cohortdeck.operators.joins import with_keys, without_keys
+from cohortdeck.sources.bucketed import deal_out
 
 
 def package_flags(
@@ -52,28 +54,52 @@ def without_prior_purchase(viewers: DataFrame, user: str, purchases: DataFrame,
     return without_keys(viewers, between_moments(purchases, ts, None, before), [user])
 
 
-def funnel_users(
-    viewers: DataFrame,
-    payment_views: DataFrame,
-    transactions: DataFrame,
-    cash: DataFrame,
-    resigned: DataFrame,
-    dims: Sequence[str],
-    packages: Mapping[str, Column],
-) -> DataFrame:
+class FunnelTables(NamedTuple):
+    """The funnel's inputs, each reduced to what its keys need."""
+
+    sessions: DataFrame
+    firsts: DataFrame
+    transactions: DataFrame
+    payments: DataFrame
+    gone: DataFrame
+
+
+def funnel_tables(
+    viewers: DataFrame, payment_views: DataFrame, transactions: DataFrame, cash: DataFrame, resigned: DataFrame, dims: Sequence[str]
+) -> FunnelTables:
+    """Sessions and payments shrink to their key before they are joined, so they never multiply each other."""
+    keys = ["user_id", "session_id"]
+    amount = money(F.coalesce(F.col("amount"), F.lit(0)))
+    return FunnelTables(
+        viewers.select(*keys, *dims).distinct(),
+        payment_views.groupBy(*keys).agg(F.min("ts").alias("_first_view")),
+        transactions.distinct(),
+        cash.groupBy("user_id").agg(
+            F.count(F.lit(1)).alias("_payments"), F.sum(amount).alias("_cash"), F.sum(amount * amount).alias("_squares")
+        ),
+        resigned.select("user_id").distinct().withColumn("_gone", F.lit(1)),
+    )
+
+
+def dealt_funnel_tables(tables: FunnelTables, buckets: int) -> FunnelTables:
+    """The same, stored in buckets by user: funnels of any dims and packages start from them without a shuffle.
+
+    Only one row a session and what was really bought is left of a busy user, so a flood of
+    views doesn't fill a bucket.
+    """
+    return FunnelTables(*[deal_out(df, f"funnel-{name}", "user_id", buckets) for name, df in tables._asdict().items()])
+
+
+def funnel_users(tables: FunnelTables, dims: Sequence[str], packages: Mapping[str, Column]) -> DataFrame:
     """One row per cohort and viewer: payment page seen, transactions, cash, resigned.
 
-    Sessions and payments shrink to their key before they are joined, so they never
-    multiply each other.  Transactions meet the sessions in an inner join, which Spark
-    can split when one session holds much of them, and are summed per user at once.
+    Transactions meet the sessions in an inner join, which Spark can split when one
+    session holds much of them, and are summed per user at once.
     """
     keys = ["user_id", "session_id"]
-    sessions = viewers.select(*keys, *dims).distinct()
-    firsts = payment_views.groupBy(*keys).agg(F.min("ts").alias("_first_view"))
-    seen = sessions.join(firsts, keys, "left")
+    seen = tables.sessions.join(tables.firsts, keys, "left")
     bought = (
-        transactions.distinct()
-        .join(seen.filter(F.col("_first_view").isNotNull()), keys)
+        tables.transactions.join(seen.filter(F.col("_first_view").isNotNull()), keys)
         .filter(F.col("_first_view") < F.col("ts"))
         .groupBy(*dims, "user_id")
         .agg(
@@ -87,12 +113,7 @@ def funnel_users(
         .agg(F.max(F.when(F.col("_first_view").isNotNull(), 1).otherwise(0)).alias("_paying"))
         .join(bought, [*dims, "user_id"], "left")
     )
-    amount = money(F.coalesce(F.col("amount"), F.lit(0)))
-    payments = cash.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("_payments"), F.sum(amount).alias("_cash"), F.sum(amount * amount).alias("_squares")
-    )
-    gone = resigned.select("user_id").distinct().withColumn("_gone", F.lit(1))
-    return users.join(payments, ["user_id"], "left").join(gone, ["user_id"], "left")
+    return users.join(tables.payments, ["user_id"], "left").join(tables.gone, ["user_id"], "left")
 
 
 def _funnel_counts(users: DataFrame, dims: Sequence[str], packages: Mapping[str, Column], fanout: str) -> DataFrame:
@@ -129,7 +150,7 @@ def trx_summary(
     """
     packages = package_flags() if packages is None else packages
     known = viewers.dropna(subset=list(dims))
-    users = funnel_users(known, payment_views, transactions, cash, resigned, dims, packages)
+    users = funnel_users(funnel_tables(known, payment_views, transactions, cash, resigned, dims), dims, packages)
     counts = _funnel_counts(users, dims, packages, fanout).filter(F.col("subs") > 0)
     return counts.drop("viewers", "payment_viewers")
 
@@ -156,7 +177,14 @@ def conversion_funnel(
     once.  The pairs are multiplied out, not formed.
     """
     known = viewers.dropna(subset=list(dims))
-    users = funnel_users(known, payment_views, transactions, cash, resigned, dims, {})
+    users = funnel_users(funnel_tables(known, payment_views, transactions, cash, resigned, dims), dims, {})
+    return funnel_rates(_funnel_counts(users, dims, {}, fanout), dims)
+
+
+def funnel_of(tables: FunnelTables, dims: Sequence[str] = ("cohort",), fanout: str = "reference") -> DataFrame:
+    """``conversion_funnel`` from stored tables; ``dims`` may be some of theirs."""
+    sessions = tables.sessions.dropna(subset=list(dims)).select("user_id", "session_id", *dims).distinct()
+    users = funnel_users(tables._replace(sessions=sessions), dims, {})
     return funnel_rates(_funnel_counts(users, dims, {}, fanout), dims)
 
 
