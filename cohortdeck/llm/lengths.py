@@ -39,9 +39,9 @@ def suffix_sums(histogram: DataFrame, by: Sequence[str] = (), block: int = 1024)
 
     Adds, for the limit at each row's length: docs_at_least and tokens_at_least (suffix
     sums, this length included), docs_below, tokens_below, tokens_total, docs_total, and
-    truncated_tokens, the tokens left when every document is cut at this length.  Between
-    two lengths that occur, the truncated total is ``tokens_below + limit *
-    docs_at_least`` of the next one, so the rows answer every limit exactly.
+    truncated_tokens, the tokens left when every document is cut at this length.  For any
+    limit from this length up to the next one that occurs, ``tokens_upto + limit *
+    docs_above`` tokens are left, so the rows answer every limit exactly.
 
     Sums run in blocks of ``block`` lengths, and the block totals (one row per block) are
     summed again, so that no group's histogram goes through one task.
@@ -74,9 +74,11 @@ def suffix_sums(histogram: DataFrame, by: Sequence[str] = (), block: int = 1024)
         .withColumn("docs_below", F.col("docs_total") - F.col("docs_at_least"))
         .withColumn("tokens_below", F.col("tokens_total") - F.col("tokens_at_least"))
         .withColumn("truncated_tokens", F.col("tokens_below") + F.col("n_tokens") * F.col("docs_at_least"))
+        .withColumn("docs_above", F.col("docs_at_least") - F.col("n_docs"))
+        .withColumn("tokens_upto", F.col("tokens_below") + F.col("n_tokens") * F.col("n_docs"))
         .select(
             *keys, "n_tokens", "n_docs", "docs_at_least", "tokens_at_least", "docs_below", "tokens_below",
-            "docs_total", "tokens_total", "truncated_tokens",
+            "docs_total", "tokens_total", "truncated_tokens", "docs_above", "tokens_upto",
         )
     )
 
@@ -106,3 +108,14 @@ def length_quantiles(sums: DataFrame, shares: Sequence[float], by: Sequence[str]
         for share in shares
     ]
     return sums.groupBy(*by).agg(*picks)
+
+
+def with_quantiles(sums: DataFrame, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``sums`` with its group's ``length_quantiles`` in each row; null is a group like others."""
+    found = length_quantiles(sums, shares, by)
+    names = [c for c in found.columns if c not in by]
+    given = found.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], *names)
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return sums.join(given, same).select(*sums.columns, *names)

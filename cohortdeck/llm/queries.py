@@ -93,9 +93,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_length_histogram")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals per language for every context limit at which anything changes."""
+    """Token totals and quantiles per language, and for every context limit what it keeps and cuts."""
     histogram = staged(lengths.length_histogram(table(spark, sf_dir, "documents"), ["lang"]), "length-histogram")
-    return lengths.suffix_sums(histogram, ["lang"])
+    sums = staged(lengths.suffix_sums(histogram, ["lang"]), "length-sums")
+    return lengths.with_quantiles(sums, [0.5, 0.9, 0.99, 1.0], ["lang"])
 
 
 @query("op6_html_text")

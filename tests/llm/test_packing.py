@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -7,8 +8,9 @@ import public_tokenizers
 from frames import collected, empty, frame, odd_documents
 from tokenizers import Tokenizer
 
-from cohortdeck.llm.lengths import length_histogram, length_quantiles, limit_totals, suffix_sums
+from cohortdeck.llm.lengths import encoded_lengths, length_histogram, length_quantiles, limit_totals, suffix_sums
 from cohortdeck.llm.packing import Bins, digest, harmonic_pack, powers, slots
+from cohortdeck.llm.queries import QUERIES
 from cohortdeck.llm.tokens import Encoder, encoder, packed, tokenizer_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -119,3 +121,24 @@ def test_very_long_stretches(spark, letters):
     assert sum(p["length"] for p in pieces) == len(expected) + 1
     (row,) = length_histogram(df, ["lang"]).collect()
     assert row["n_tokens"] in (len(expected), len(expected) + 1)
+
+
+def test_length_query_against_brute_force(spark):
+    """Every limit and quantile from the query's rows, null languages included."""
+    sf_dir = "/root/testdata/sf0.001"
+    by_lang = {}
+    for row in encoded_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["lang"]).collect():
+        by_lang.setdefault(row.lang, []).append(row.n_tokens)
+    found = {}
+    for row in QUERIES["op5_length_histogram"](spark, sf_dir).collect():
+        found.setdefault(row.lang, []).append(row)
+    assert set(found) == set(by_lang)
+    for lang, sizes in by_lang.items():
+        rows = sorted(found[lang], key=lambda r: r.n_tokens)
+        assert [(r.n_tokens, r.n_docs) for r in rows] == sorted(Counter(sizes).items())
+        for share, name in [(0.5, "q500"), (0.9, "q900"), (0.99, "q990"), (1.0, "q1000")]:
+            assert {r[name] for r in rows} == {sorted(sizes)[math.ceil(round(share * len(sizes), 6)) - 1]}
+        for row, after in zip(rows, [*rows[1:], None]):
+            for limit in {row.n_tokens, row.n_tokens + 1, (after.n_tokens if after else row.n_tokens + 99) - 1} - {row.n_tokens - 1}:
+                assert row.tokens_upto + limit * row.docs_above == sum(min(size, limit) for size in sizes)
+            assert row.truncated_tokens == sum(min(size, row.n_tokens) for size in sizes)
