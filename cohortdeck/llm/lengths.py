@@ -114,6 +114,8 @@ def with_quantiles(sums: DataFrame, shares: Sequence[float], by: Sequence[str] =
     """``sums`` with its group's ``length_quantiles`` in each row; null is a group like others."""
     found = length_quantiles(sums, shares, by)
     names = [c for c in found.columns if c not in by]
+    if not by:
+        return sums.select("*", *[found.select(name).scalar().alias(name) for name in names])
     given = found.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], *names)
     same = F.lit(True)
     for i, c in enumerate(by):

@@ -8,7 +8,7 @@ import public_tokenizers
 from frames import collected, empty, frame, odd_documents
 from tokenizers import Tokenizer
 
-from cohortdeck.llm.lengths import encoded_lengths, length_histogram, length_quantiles, limit_totals, suffix_sums
+from cohortdeck.llm.lengths import encoded_lengths, length_histogram, length_quantiles, limit_totals, suffix_sums, with_quantiles
 from cohortdeck.llm.packing import Bins, digest, harmonic_pack, powers, slots
 from cohortdeck.llm.queries import QUERIES
 from cohortdeck.llm.tokens import Encoder, encoder, packed, tokenizer_path
@@ -142,3 +142,10 @@ def test_length_query_against_brute_force(spark):
             for limit in {row.n_tokens, row.n_tokens + 1, (after.n_tokens if after else row.n_tokens + 99) - 1} - {row.n_tokens - 1}:
                 assert row.tokens_upto + limit * row.docs_above == sum(min(size, limit) for size in sizes)
             assert row.truncated_tokens == sum(min(size, row.n_tokens) for size in sizes)
+
+
+def test_quantiles_without_groups(spark):
+    sums = suffix_sums(length_histogram(frame(spark)))
+    found = with_quantiles(sums, [0.5])
+    assert {r.q500 for r in found.collect()} == {length_quantiles(sums, [0.5]).first().q500}
+    assert with_quantiles(suffix_sums(length_histogram(empty(spark))), [0.5]).collect() == []
