@@ -948,12 +948,13 @@ XML_SQL = """WITH x AS (SELECT event_id, '<Log><Score>' || CAST(CAST(value / 10
 @check("xml_extract", XML_SQL)
 def xml_extract(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", details_of(F.col("value"), F.col("event_type")).alias("details"))
+    paths = ["//Score", "//IsInTest", "//Honored"]
     details = F.col("details")
-    return rows.select(
+    return rows.select("event_id", extract.xml_texts(F.col("details"), paths).alias("details")).select(
         "event_id",
-        extract.xml_value(details, "//Score", "decimal(20,5)").alias("score"),
-        F.when(extract.is_true(extract.xml_value(details, "//IsInTest")), 1).otherwise(0).alias("in_test"),
-        F.coalesce(extract.xml_value(details, "//Honored", "int"), F.lit(0)).alias("honored"),
+        extract.xml_value(details, "//Score", "decimal(20,5)", paths).alias("score"),
+        F.when(extract.is_true(extract.xml_value(details, "//IsInTest", among=paths)), 1).otherwise(0).alias("in_test"),
+        F.coalesce(extract.xml_value(details, "//Honored", "int", paths), F.lit(0)).alias("honored"),
     )
 
 

@@ -113,6 +113,26 @@ def test_xml_values(spark):
     assert values(spark, extract.xml_value(F.col("x"), "//B", "int"), xml, "x string") == [None, None, None]
 
 
+def test_xml_texts_are_those_of_each_value(spark):
+    rows = [
+        "<L><Score>1.50</Score><Flag>True</Flag><B>x</B></L>", "<L/>", None, "",
+        "<L><A><Score>2</Score></A><Score>3</Score><B> a,b </B></L>", "<L><Flag/><B>1<C>2</C></B></L>", "<L a='1'><B>&lt;&#xE9;&apos;</B></L>",
+    ]
+    paths = ["//Score", "//Flag", "//B", "/L/@a", "count(//B)"]
+    rows = [(x,) for x in rows]
+    for some in (paths, paths[:1], paths[::-1]):
+        for path in some:
+            own = values(spark, extract.xml_value(F.col("x"), path), rows, "x string")
+            assert values(spark, extract.xml_value(extract.xml_texts(F.col("x"), some), path, among=some), rows, "x string") == own
+
+
+def test_xml_extract_parses_once(spark):
+    from cohortdeck.checks.registry import QUERIES
+
+    plan = QUERIES["xml_extract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("XPath") == 1
+
+
 def test_xml_record_parses_once(spark):
     xml = [("<L><Score>1.50</Score><B>x</B></L>",), ("<L><Other/></L>",), (None,)]
     record = extract.xml_record(F.col("x"), "Score decimal(20,5), B string")
