@@ -110,8 +110,9 @@ def repeat_filter(docs: DataFrame, min_chars: int, bits: int, hashes: int) -> np
     merged = map_batches(sketches.repartition("segment"), merge, "segment int, bits binary")
     twice = np.zeros(bits // 8, np.uint8)
     width = (1 << SEGMENT) // 8
-    for row in merged.toLocalIterator():  # at most bits / 8 bytes, whatever the input
-        twice[row.segment * width : (row.segment + 1) * width] = np.frombuffer(row.bits, np.uint8)
+    found = merged.toArrow()  # in one job; at most bits / 8 bytes, whatever the input
+    for segment, part in zip(found["segment"].to_pylist(), found["bits"]):
+        twice[segment * width : (segment + 1) * width] = np.frombuffer(part.as_buffer(), np.uint8)
     return twice
 
 

@@ -173,18 +173,19 @@ def components(links: DataFrame) -> DataFrame:
     """node and the smallest node reachable over ``links`` (a, b), by passing minima on and jumping.
 
     Only sums leave a node (the minimum of its neighbours), so a node with a great many
-    links is no heavier than others.  Every round is written to the shared folder.
+    links is no heavier than others.  Every round is written to the shared folder, in files
+    by the number of links: with few of them a round costs few tasks.
     """
     both = staged(links.union(links.select("b", "a")).toDF("node", "near").distinct(), "links")
-    labels = staged(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")), "labels")
+    most = both.count()  # there are no more nodes than that
+    labels = staged(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")), "labels", most)
     while True:
         near = both.join(labels.select(F.col("node").alias("near"), F.col("label").alias("theirs")), "near")
         least = near.groupBy("node").agg(F.min("theirs").alias("theirs"))
         low = labels.join(least, "node").select("node", "label", F.least("label", "theirs").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("further"))
-        passed = staged(
-            low.join(jump, "low", "left").select("node", "label", F.least("low", F.coalesce("further", "low")).alias("next")), "labels"
-        )
+        further = low.join(jump, "low", "left").select("node", "label", F.least("low", F.coalesce("further", "low")).alias("next"))
+        passed = staged(further, "labels", most)
         labels = passed.select("node", F.col("next").alias("label"))
         if passed.filter("next < label").isEmpty():
             return labels
@@ -230,8 +231,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = 5) -> DataFr
     apart = apart.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.col("a").alias("low"), F.col("b").alias("rep"))
     unsettled = buckets.join(apart, ["low", "rep"], "left_semi").select("key").distinct()
     buckets = staged(buckets.join(unsettled, "key", "left_semi"), "shingle-buckets")
+    held = buckets.count()  # no round proposes more pairs than that
     turn = 0
-    while not buckets.isEmpty():
+    while held:
         turn += 1
         named = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         named = named.select("key", "rep", F.coalesce("label", "rep").alias("label"))
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows: int = 5) -> DataFr
         )
         open_stars = named.join(centre.filter("least < most"), "key").filter(F.col("label") != F.col("centre.label"))
         stars = open_stars.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
-        fresh = staged(stars.join(tried, ["a", "b"], "left_anti"), "shingle-stars")
+        fresh = staged(stars.join(tried, ["a", "b"], "left_anti"), "shingle-stars", held)
         more = staged(confirmed(fresh, sets, percent), "shingle-links")
         tried = tried.union(fresh)
         if not more.isEmpty():
