@@ -127,9 +127,10 @@ def test_xml_texts_are_those_of_each_value(spark):
 
 
 def test_xml_extract_parses_once(spark):
-    from cohortdeck.checks.registry import QUERIES
+    from cohortdeck.checks import operators, registry
 
-    plan = QUERIES["xml_extract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert operators.xml_extract
+    plan = registry.QUERIES["xml_extract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("XPath") == 1
 
 
